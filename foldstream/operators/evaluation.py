@@ -92,7 +92,7 @@ def recommendations(merged: DataFrame, order: str = "descending") -> DataFrame:
 
 
 def target_gain(requests: DataFrame, ranks: DataFrame, order: str = "descending", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Single-target nDCG of each request (eval_id, user_id, item_id, ts) in its user's list.
+    """Single-target nDCG of each request (user_id, item_id, ts and any eval_id) in its user's list.
 
     ranks: (user_id, item_id, rank), k rows per user. Only the target's rank is joined, so lists are
     not copied to the requests. "ascending" counts positions from the worst item of the list.
@@ -107,7 +107,8 @@ def target_gain(requests: DataFrame, ranks: DataFrame, order: str = "descending"
     pair = F.struct("user_id", "item_id")
     table = ranks.select(pair.alias("pair"), place.alias("position"))
     found = lookup_join(requests.withColumn("pair", pair), table, "pair", "left", hot_rows)
-    return found.select("eval_id", reciprocal_log_gain(F.col("position")).alias("ndcg"), "ts")
+    kept = [c for c in ("eval_id", "ts") if c in requests.columns]
+    return found.select(*kept, reciprocal_log_gain(F.col("position")).alias("ndcg"))
 
 
 # --- many targets ---------------------------------------------------------------------------

@@ -40,25 +40,26 @@ def _ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy()
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per row the k best by (score desc, id asc): row numbers, ids and scores, best first."""
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Per row the k best by (rounded score desc, id asc): row numbers, ids, scores and ranks."""
     n = scores.shape[1]
     if n > k:
         kth = np.partition(scores, n - k, axis=1)[:, n - k]
-        rows, cols = np.nonzero(scores >= kth[:, None])  # keeps every tie of the k-th score
+        # keeps everything that can tie with the k-th score after rounding
+        rows, cols = np.nonzero(scores >= kth[:, None] - 10.0 ** -SCORE_DIGITS)
     else:
-        rows, cols = np.nonzero(scores > -inf)
-    picked_ids = np.broadcast_to(ids, scores.shape)[rows, cols]
-    picked = scores[rows, cols]
+        rows, cols = np.divmod(np.arange(scores.size), n)
+    picked_ids = ids[cols]
+    picked = np.round(scores[rows, cols], SCORE_DIGITS) + 0.0
     order = np.lexsort((picked_ids, -picked, rows))
     rows, picked_ids, picked = rows[order], picked_ids[order], picked[order]
-    starts = np.searchsorted(rows, rows, side="left")
-    keep = (np.arange(len(rows)) - starts < k) & (picked > -inf)
-    return rows[keep], picked_ids[keep], picked[keep]
+    ranks = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") + 1
+    keep = ranks <= k
+    return rows[keep], picked_ids[keep], picked[keep], ranks[keep]
 
 
-def _table(users: np.ndarray, items: np.ndarray, scores: np.ndarray, part: int) -> pa.Table:
-    return pa.table({"user_id": users, "item_id": items, "score": scores,
+def _table(part: int, users: np.ndarray, items: np.ndarray, scores: np.ndarray, ranks: np.ndarray) -> pa.Table:
+    return pa.table({"user_id": users, "item_id": items, "score": scores, "rank": ranks.astype(np.int32),
                      "part": np.full(len(users), part, dtype=np.int32)})
 
 
@@ -69,16 +70,15 @@ def _score_all(k: int) -> Callable:
     def cell(key, users: pa.Table, items: pa.Table) -> pa.Table:
         part = key[1].as_py()
         if not users.num_rows or not items.num_rows:
-            return _table(_EMPTY, _EMPTY, np.empty(0), part)
+            return _table(part, _EMPTY, _EMPTY, np.empty(0), _EMPTY)
         user_ids, item_ids = _ids(users["user_id"]), _ids(items["item_id"])
         q, v = _matrix(users["vec"]), _matrix(items["vec"])
         step = max(1, _SLICE_SCORES // len(item_ids))
         found = []
         for at in range(0, len(user_ids), step):
-            scores = np.round(q[at:at + step] @ v.T, SCORE_DIGITS) + 0.0
-            rows, ids, best = _best(item_ids, scores, k)
-            found.append((user_ids[at:at + step][rows], ids, best))
-        return _table(*(np.concatenate(c) for c in zip(*found)), part)
+            rows, ids, best, ranks = _best(item_ids, q[at:at + step] @ v.T, k)
+            found.append((user_ids[at:at + step][rows], ids, best, ranks))
+        return _table(part, *(np.concatenate(c) for c in zip(*found)))
 
     return cell
 
@@ -89,7 +89,7 @@ def _score_by_length(k: int, bucket_size: int) -> Callable:
     def cell(key, users: pa.Table, items: pa.Table) -> pa.Table:
         part = key[1].as_py()
         if not users.num_rows or not items.num_rows:
-            return _table(_EMPTY, _EMPTY, np.empty(0), part)
+            return _table(part, _EMPTY, _EMPTY, np.empty(0), _EMPTY)
         user_ids, item_ids = _ids(users["user_id"]), _ids(items["item_id"])
         q, v = _matrix(users["vec"]), _matrix(items["vec"])
         lengths = np.linalg.norm(v, axis=1)
@@ -124,8 +124,8 @@ def _score_by_length(k: int, bucket_size: int) -> Callable:
                 top_ids[changed] = np.take_along_axis(ids, rank, axis=1)
                 top[changed] = np.take_along_axis(scores, rank, axis=1)
             rows, cols = np.nonzero(top > -inf)
-            found.append((user_ids[at:at + width][rows], top_ids[rows, cols], top[rows, cols]))
-        return _table(*(np.concatenate(c) for c in zip(*found)), part)
+            found.append((user_ids[at:at + width][rows], top_ids[rows, cols], top[rows, cols], cols + 1))
+        return _table(part, *(np.concatenate(c) for c in zip(*found)))
 
     return cell
 
@@ -146,7 +146,7 @@ def _summarise_cell(key, users: pa.Table, items: pa.Table) -> pa.Table:
                      "total": total, "lo": lo, "hi": hi})
 
 
-_PICKED = "user_id bigint, item_id bigint, score double, part int"
+_PICKED = "user_id bigint, item_id bigint, score double, rank int, part int"
 
 
 def _in_cells(visits: DataFrame, items: DataFrame, n_users: int, n_parts: int, kernel: Callable,
@@ -183,12 +183,18 @@ def ranked(scored: DataFrame, k: int, by: list[str]) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _merge(picked: DataFrame, k: int, n_parts: int) -> DataFrame:
+    """Best of the parts' best: at most n_parts * k rows per user. One part has ranked its rows."""
+    if n_parts == 1:
+        return picked.drop("part")
+    return ranked(picked.drop("part", "rank"), k, ["user_id"])
+
+
 def topk(users: DataFrame, items: DataFrame, k: int, part_items: int = PART_ITEMS) -> DataFrame:
     """(user_id, item_id, score, rank): each user's k best of all items. Users must be distinct."""
     parted, n_parts = _hashed_parts(items, items.count(), part_items)
     picked = _in_cells(_visit_all(users, n_parts), parted, users.count(), n_parts, _score_all(k), _PICKED)
-    # at most n_parts * k rows per user
-    return ranked(picked.drop("part"), k, ["user_id"])
+    return _merge(picked, k, n_parts)
 
 
 def score_summary(users: DataFrame, items: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
@@ -224,7 +230,10 @@ def local_topk(users: DataFrame, items: DataFrame, k: int, part_items: int = PAR
     picked = _in_cells(visits, parted, users.count(), first, _score_all(k), _PICKED)
     shard_of = F.broadcast(items.sparkSession.createDataFrame(
         [(f + i, s) for s, f, n in parts for i in range(n)], "part int, shard int"))
-    return ranked(picked.join(shard_of, "part").drop("part"), k, ["user_id", "shard"])
+    in_shards = picked.join(shard_of, "part").drop("part")
+    if all(n == 1 for _, _, n in parts):
+        return in_shards
+    return ranked(in_shards.drop("rank"), k, ["user_id", "shard"])
 
 
 def pruned_topk(users: DataFrame, items: DataFrame, k: int, bucket_size: int = 75,
@@ -241,7 +250,7 @@ def pruned_topk(users: DataFrame, items: DataFrame, k: int, bucket_size: int = 7
         visits = users.select("user_id", "vec", F.lit(0).alias("part"), F.lit(-inf).alias("floor"))
         parted = measured.select("item_id", "vec", F.lit(0).alias("part"))
         picked = _in_cells(visits, parted, n_users, 1, _score_by_length(k, bucket_size), _PICKED)
-        return ranked(picked.drop("part"), k, ["user_id"])
+        return _merge(picked, k, 1)
 
     inner = measured.approxQuantile("length", [i / n for i in range(1, n)], 1.0 / (4 * n))
     splits = [-inf, *sorted(set(inner)), inf]
@@ -272,7 +281,7 @@ def pruned_topk(users: DataFrame, items: DataFrame, k: int, bucket_size: int = 7
             rest, lambda p: p["top"] * reach + 10.0 ** -SCORE_DIGITS >= F.col("floor"))["part"]).alias("part"))
     )
     more = _in_cells(visits, parted.where(F.col("part") > 0), n_users, len(tops) - 1, kernel, _PICKED)
-    return ranked(first.unionByName(more).drop("part"), k, ["user_id"])
+    return _merge(first.unionByName(more), k, len(tops))
 
 
 def collect_lists(ranks: DataFrame, order: str = "descending", by: str = "user_id") -> DataFrame:

@@ -72,7 +72,6 @@ class TrainEval:
     def process(self, requests: DataFrame, batch_id: int) -> None:
         """requests: (eval_id, user_id, item_id, rating, ts). Results hold (eval_id, ndcg, ts)."""
         c = self.config
-        requests = cut_lineage(requests.select("eval_id", "user_id", "item_id", "rating", "ts"))
         wanted = requests.select(F.col("user_id").alias("id")).distinct()
         held = wanted.join(self.users.read(batch_id).withColumn("old", F.lit(True)), "id", "left")
         users = cut_lineage(held.select("id", F.coalesce("vec", c.user_init(F.col("id"))).alias("vec"),
@@ -85,11 +84,15 @@ class TrainEval:
         target_gain(requests, ranks, c.order).write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
 
         items, n = item_index(known.unionByName(fresh))
-        pairs = cut_lineage(training_pairs(requests, items.select("id", "idx"), n, c.negatives, c.seed))
-        user_deltas, item_deltas = sgd_deltas(pairs, users, items, c.dim, c.learning_rate)
+        pairs = training_pairs(requests, items.select("id", "idx"), n, c.negatives, c.seed)
+        user_deltas, item_deltas = sgd_deltas(pairs, users, items, c.dim, c.learning_rate, users.count(), n)
         self.users.append(users.where("new").select("id", "vec").unionByName(user_deltas), batch_id)
         self.items.append(fresh.unionByName(item_deltas), batch_id)
 
+    def process_micro_batch(self, requests: DataFrame, batch_id: int) -> None:
+        """`process` for a stream: the source is read once."""
+        self.process(cut_lineage(requests), batch_id)
+
     def rank(self, users: DataFrame, items: DataFrame) -> DataFrame:
         c = self.config
         queries = users.select(F.col("id").alias("user_id"), "vec")
@@ -118,6 +121,7 @@ def online_train_eval(requests: DataFrame, items: DataFrame | None, config: Fact
 
 def evaluate_fixed(requests: DataFrame, config: FactorConfig) -> DataFrame:
     """Report of untrained vectors over all requests: initial vectors, top-K, metric, slots."""
+    requests = cut_lineage(requests.select("user_id", "item_id", "ts"))
     users = requests.select(F.col("user_id").alias("id")).distinct().select("id", config.user_init(F.col("id")).alias("vec"))
     items = requests.select(F.col("item_id").alias("id")).distinct().select("id", config.item_init(F.col("id")).alias("vec"))
     queries = users.select(F.col("id").alias("user_id"), "vec")

@@ -145,7 +145,7 @@ def topic_roundtrip(spark, sf):
 @query
 def result_lines(spark, sf):
     path = scratch_path(spark, "report")
-    sinks.save_report(evaluate_fixed(t.requests(spark, sf), CONFIG), path)
+    sinks.save_report(evaluate_fixed(t.interactions(spark, sf), CONFIG), path)
     return _round(sinks.read_report(spark, path), 6, "ndcg")
 
 
@@ -455,12 +455,12 @@ def time_slots(spark, sf):
 
 @query
 def ndcg_by_slot(spark, sf):
-    return _round(evaluate_fixed(t.requests(spark, sf), CONFIG), 6, "ndcg")
+    return _round(evaluate_fixed(t.interactions(spark, sf), CONFIG), 6, "ndcg")
 
 
 @query
 def ndcg_by_slot_ascending(spark, sf):
-    return _round(evaluate_fixed(t.requests(spark, sf), replace(CONFIG, order="ascending")), 6, "ndcg")
+    return _round(evaluate_fixed(t.interactions(spark, sf), replace(CONFIG, order="ascending")), 6, "ndcg")
 
 
 @query
