@@ -14,6 +14,8 @@ INIT_SHIFT = 12345
 INIT_POS_MIX = 31
 INIT_MIX = 48271
 
+UNROLLED_DIM = 32
+
 
 def _same_size(a: Column, b: Column, value: Column) -> Column:
     return F.when(F.size(a) == F.size(b), value).otherwise(
@@ -48,22 +50,35 @@ def vector_add(a: Column, b: Column) -> Column:
     return no_nan(_same_size(a, b, F.zip_with(a, b, lambda x, y: x + y)))
 
 
+def _mixed(square: Column, key: Column, pos: Column, lo: float, hi: float) -> Column:
+    z = F.pmod((square + key + pos * INIT_POS_MIX) * (square + INIT_MIX), F.lit(INIT_MODULUS))
+    return F.lit(float(lo)) + (z.cast("double") / float(INIT_MODULUS)) * F.lit(float(hi - lo))
+
+
+def _reduced(key: Column) -> Column:
+    # leaves the result as it is and keeps large keys from overflowing
+    return F.pmod(key.cast("bigint"), F.lit(INIT_MODULUS).cast("bigint"))
+
+
+def _linear(key: Column, pos: Column, seed: int) -> Column:
+    return F.pmod(key * INIT_ID_STEP + pos * INIT_POS_STEP + (seed * INIT_SEED_STEP + INIT_SHIFT), F.lit(INIT_MODULUS))
+
+
 def init_component(key: Column, pos: Column, lo: float, hi: float, seed: int) -> Column:
     """Repeatable pseudo-random number in [lo, hi) from integers alone."""
-    m = F.lit(INIT_MODULUS)
-    # reducing the key first leaves the result as it is and keeps large keys from overflowing
-    k = F.pmod(key.cast("bigint"), m.cast("bigint"))
-    pos = pos.cast("bigint")
-    x = F.pmod(k * INIT_ID_STEP + pos * INIT_POS_STEP + (seed * INIT_SEED_STEP + INIT_SHIFT), m)
-    y = F.pmod(x * x, m)
-    z = F.pmod((y + k + pos * INIT_POS_MIX) * (y + INIT_MIX), m)
-    return F.lit(float(lo)) + (z.cast("double") / float(INIT_MODULUS)) * F.lit(float(hi - lo))
+    k, pos = _reduced(key), pos.cast("bigint")
+    x = _linear(k, pos, seed)
+    return _mixed(F.pmod(x * x, F.lit(INIT_MODULUS)), k, pos, lo, hi)
 
 
 def init_vector(key: Column, dim: int, lo: float = -0.001, hi: float = 0.001, seed: int = 1) -> Column:
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda pos: init_component(key, pos, lo, hi, seed)
-    )
+    if dim <= UNROLLED_DIM:  # stays in generated code
+        return F.array(*(init_component(key, F.lit(i), lo, hi, seed) for i in range(dim)))
+    k = _reduced(key)
+    positions = F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint"))
+    linear = F.transform(positions, lambda pos: _linear(k, pos, seed))
+    squares = F.transform(linear, lambda x: F.pmod(x * x, F.lit(INIT_MODULUS)))
+    return F.transform(squares, lambda y, i: _mixed(y, k, i, lo, hi))
 
 
 def to_fields(df: DataFrame, key: str = "id", vec: str = "vec") -> DataFrame:

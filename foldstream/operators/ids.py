@@ -12,9 +12,9 @@ from foldstream.session import cut_lineage
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low bits
 
 
-def dense_ids(df: DataFrame, order: Sequence[str], id_col: str = "eval_id",
-              n_partitions: int | None = None) -> DataFrame:
-    """Add 0, 1, 2, ... in the order of `order`, with no global window.
+def numbered(df: DataFrame, order: Sequence[str], id_col: str,
+             n_partitions: int | None = None) -> tuple[DataFrame, int]:
+    """Add 0, 1, 2, ... in the order of `order`, with no global window; also the number of rows.
 
     Range partitioning on all order columns splits a frequent leading value over partitions. The
     sorted rows are written once; one row count per partition then gives the offsets.
@@ -31,8 +31,14 @@ def dense_ids(df: DataFrame, order: Sequence[str], id_col: str = "eval_id",
     # <= n rows, one per partition
     starts = F.broadcast(spark.createDataFrame(offsets, "_part int, _start bigint"))
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return (
+    with_ids = (
         ordered.select("*", F.spark_partition_id().alias("_part"), local.alias("_row"))
         .join(starts, "_part")
         .select((F.col("_start") + F.col("_row")).alias(id_col), *df.columns)
     )
+    return with_ids, total
+
+
+def dense_ids(df: DataFrame, order: Sequence[str], id_col: str = "eval_id",
+              n_partitions: int | None = None) -> DataFrame:
+    return numbered(df, order, id_col, n_partitions)[0]

@@ -55,7 +55,7 @@ def pull_or_init(pulls: DataFrame, params: DataFrame, init: Init, hot_rows: int
     """Answer each pull (src, dest) with its key's vector, or the initial one if there is none."""
     found = lookup_join(pulls.select("src", "dest"), params.select(F.col("id").alias("dest"), "vec"),
                         "dest", "left", hot_rows)
-    # in its own step: inside the initialiser's lambda "dest" would mean the renamed column
+    # in its own step: inside an initialiser's lambda "dest" could mean the renamed column
     answered = found.withColumn("vec", F.coalesce("vec", init(F.col("dest"))))
     return answered.select(F.col("dest").alias("src"), F.col("src").alias("dest"), "vec")
 

@@ -24,8 +24,10 @@ from foldstream.session import cut_lineage
 SCORE_DIGITS = 9
 PART_ITEMS = 65_536
 CHUNK_USERS = 65_536
+PART_BLOCKS = 16
 CELLS_PER_CORE = 2
-_SLICE_SCORES = 8_000_000  # scores held at once inside a cell
+_SLICE_SCORES = 1_000_000  # scores held at once inside a cell
+_BLOCK = 64
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -40,13 +42,22 @@ def _ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy()
 
 
+def _entries(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Item ids and vectors of packed blocks."""
+    entries = pa.concat_arrays([chunk.flatten() for chunk in blocks["entries"].chunks])
+    return entries.field("item_id").to_numpy(), _matrix(pa.chunked_array([entries.field("vec")]))
+
+
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """Per row the k best by (rounded score desc, id asc): row numbers, ids, scores and ranks."""
     n = scores.shape[1]
     if n > k:
-        kth = np.partition(scores, n - k, axis=1)[:, n - k]
+        # the k-th greatest of block maxima is at most the k-th score and cheaper to find
+        blocks = n // _BLOCK
+        tops = scores[:, :blocks * _BLOCK].reshape(len(scores), blocks, _BLOCK).max(axis=2) if blocks >= k else scores
+        bar = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k]
         # keeps everything that can tie with the k-th score after rounding
-        rows, cols = np.nonzero(scores >= kth[:, None] - 10.0 ** -SCORE_DIGITS)
+        rows, cols = np.nonzero(scores >= bar[:, None] - 10.0 ** -SCORE_DIGITS)
     else:
         rows, cols = np.divmod(np.arange(scores.size), n)
     picked_ids = ids[cols]
@@ -71,8 +82,8 @@ def _score_all(k: int) -> Callable:
         part = key[1].as_py()
         if not users.num_rows or not items.num_rows:
             return _table(part, _EMPTY, _EMPTY, np.empty(0), _EMPTY)
-        user_ids, item_ids = _ids(users["user_id"]), _ids(items["item_id"])
-        q, v = _matrix(users["vec"]), _matrix(items["vec"])
+        user_ids, q = _ids(users["user_id"]), _matrix(users["vec"])
+        item_ids, v = _entries(items)
         step = max(1, _SLICE_SCORES // len(item_ids))
         found = []
         for at in range(0, len(user_ids), step):
@@ -90,8 +101,8 @@ def _score_by_length(k: int, bucket_size: int) -> Callable:
         part = key[1].as_py()
         if not users.num_rows or not items.num_rows:
             return _table(part, _EMPTY, _EMPTY, np.empty(0), _EMPTY)
-        user_ids, item_ids = _ids(users["user_id"]), _ids(items["item_id"])
-        q, v = _matrix(users["vec"]), _matrix(items["vec"])
+        user_ids, q = _ids(users["user_id"]), _matrix(users["vec"])
+        item_ids, v = _entries(items)
         lengths = np.linalg.norm(v, axis=1)
         order = np.argsort(-lengths, kind="stable")
         item_ids, v, lengths = item_ids[order], v[order], lengths[order]
@@ -135,7 +146,7 @@ def _summarise_cell(key, users: pa.Table, items: pa.Table) -> pa.Table:
     if not users.num_rows or not items.num_rows:
         empty = np.empty(0)
         return pa.table({"user_id": _EMPTY, "n": _EMPTY, "total": empty, "lo": empty, "hi": empty})
-    q, v = _matrix(users["vec"]), _matrix(items["vec"])
+    q, v = _matrix(users["vec"]), _entries(items)[1]
     step = max(1, _SLICE_SCORES // len(v))
     parts = []
     for at in range(0, len(q), step):
@@ -159,7 +170,10 @@ def _in_cells(visits: DataFrame, items: DataFrame, n_users: int, n_parts: int, k
     chunks = max(ceil(n_users / CHUNK_USERS), ceil(min(cores * CELLS_PER_CORE, n_users) / n_parts), 1)
     cells = chunks * n_parts
     left = visits.withColumn("chunk", F.pmod(F.xxhash64("user_id"), F.lit(chunks)).cast("int"))
-    right = items.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    # packed first, so that a chunk's copy of the items is a few large rows
+    packed = items.groupBy("part", F.pmod(F.xxhash64("item_id", F.lit(1)), F.lit(PART_BLOCKS)).alias("block")).agg(
+        F.collect_list(F.struct("item_id", "vec")).alias("entries"))
+    right = packed.select("part", "entries", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     # a count given here is kept by adaptive execution: cells are few but each is much work
     n = min(2 * cells, 200_000)
     key = ["chunk", "part"]
