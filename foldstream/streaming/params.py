@@ -42,6 +42,12 @@ def serve_from_table(messages: DataFrame, table: ParamTable, out: str, init: Ini
     return each_batch(messages, process, checkpoint)
 
 
+
+def _plain(vec) -> list[float] | None:
+    """State is kept as plain numbers; Arrow hands over numpy ones."""
+    return None if vec is None else [float(x) for x in vec]
+
+
 OnPull = Callable[[int, int, list | None], tuple[list | None, list | None]]
 OnPush = Callable[[int, int, list | None, list], tuple[list | None, list | None]]
 
@@ -56,19 +62,19 @@ def keyed_server(messages: DataFrame, on_pull: OnPull, on_push: OnPush) -> DataF
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        vec = list(state.get[0]) if state.exists and state.get[0] is not None else None
+        vec = _plain(state.get[0]) if state.exists else None
         rows = pd.concat(list(batches)).sort_values("seq")
         out = []
         for kind, src, delta in zip(rows["kind"], rows["src"], rows["vec"]):
             if kind == PUSH:
-                vec, answer = on_push(key[0], src, vec, list(delta))
+                vec, answer = on_push(key[0], src, vec, _plain(delta))
             elif kind == PULL:
                 vec, answer = on_pull(key[0], src, vec)
             else:
                 raise ValueError(f"message kind not supported: {kind}")
             if answer is not None:
                 out.append((key[0], src, list(answer)))
-        state.update((vec,))
+        state.update((_plain(vec),))
         yield pd.DataFrame(out, columns=["src", "dest", "vec"])
 
     return messages.groupBy("dest").applyInPandasWithState(
@@ -80,15 +86,15 @@ def sync_server(messages: DataFrame, init: Callable[[int], list], lock_timeout_m
 
     A pull locks its key; later pulls wait for the push that releases it. A lock older than
     `lock_timeout_ms` is released, so a lost push holds its key up for that long only. `init` maps
-    a key to the vector it starts with when a pull comes first.
+    a key to the vector it starts with when a pull comes first. The timers need a query that keeps
+    running: use a processing-time trigger, since one that ends with its input would wait for them.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         vec, locked, waiting = None, False, []
         if state.exists:
             vec, locked, waiting = state.get
-            vec = list(vec) if vec is not None else None
-            waiting = list(waiting)
+            vec, waiting = _plain(vec), [int(src) for src in waiting]
         out = []
 
         def answer(src: int) -> None:
@@ -110,7 +116,8 @@ def sync_server(messages: DataFrame, init: Callable[[int], list], lock_timeout_m
             rows = pd.concat(list(batches)).sort_values("seq")
             for kind, src, delta in zip(rows["kind"], rows["src"], rows["vec"]):
                 if kind == PUSH:
-                    vec = list(delta) if vec is None else [a + b for a, b in zip(vec, delta, strict=True)]
+                    delta = _plain(delta)
+                    vec = delta if vec is None else [a + b for a, b in zip(vec, delta, strict=True)]
                     release()
                 elif kind == PULL and locked:
                     waiting.append(int(src))

@@ -17,7 +17,7 @@ def count_windows(rows: DataFrame, key: str, value: str, n: int) -> DataFrame:
 
     def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         window, held = state.get if state.exists else (0, [])
-        held = list(held)
+        window, held = int(window), [float(v) for v in held]
         for batch in batches:
             values = held + [float(v) for v in batch[value]]
             full = len(values) // n
