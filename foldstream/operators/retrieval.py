@@ -240,8 +240,8 @@ def local_topk(users: DataFrame, items: DataFrame, k: int, part_items: int = PAR
         seen = users.join(layout, "shard")
         visits = seen.select("user_id", "vec", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("part"))
     else:
-        visits = _visit_all(users, first)
-    picked = _in_cells(visits, parted, users.count(), first, _score_all(k), _PICKED)
+        visits = _visit_all(users, max(first, 1))
+    picked = _in_cells(visits, parted, users.count(), max(first, 1), _score_all(k), _PICKED)
     shard_of = F.broadcast(items.sparkSession.createDataFrame(
         [(f + i, s) for s, f, n in parts for i in range(n)], "part int, shard int"))
     in_shards = picked.join(shard_of, "part").drop("part")

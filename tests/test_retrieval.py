@@ -85,6 +85,7 @@ def test_no_items(spark, model):
     none = spark.createDataFrame([], f"item_id bigint, vec {VECTORS}")
     assert retrieval.topk(users, none, 5).count() == 0
     assert retrieval.pruned_topk(users, none, 5).count() == 0
+    assert retrieval.local_topk(users, none.withColumn("shard", F.lit(0)), 5).count() == 0
 
 
 def test_pruned_visits_few_parts(spark):
