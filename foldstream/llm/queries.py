@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldstream.llm import bpe, mixing, quality, secrets, simhash
+from foldstream.llm import bpe, chunking, language, mixing, neighbours, quality, scoring, secrets, simhash, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -34,6 +34,27 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs).select("doc_id", "_quality.*")
 
 
+def _remainder(n: int):
+    """crc32 of the document's id, as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = language.train(docs.where(_remainder(4) != 2))
+    found = language.identify(docs.select("doc_id", "text"), field)
+    return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"),
+                        F.col("_lang.lang").alias("lang_pred"), F.col("_lang.score").alias("score"))
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("_id") % 20 == 0, 20)
+
+
+def op6_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _remainder(3) != 1)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -50,10 +71,35 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the bytes under passages that other documents have too, of those the bytes that would be cut, and
+    the passages as start:stop in bytes of the UTF-8 text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = chunking.with_repeats(docs)
+
+    def total(spans):
+        return F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
+
+    return found.select(
+        "doc_id", F.size("_passages").cast("long").alias("n_passages"), total(F.col("_passages")).alias("repeat_bytes"),
+        total(F.filter("_passages", lambda x: ~x["first"])).alias("cut_bytes"),
+        F.array_join(F.transform("_passages", lambda x: F.concat_ws(":", x["start"], x["stop"])), ",").alias("spans"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_and_read(table(spark, sf_dir, "pages"), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
+    "op4_language": op4_language,
+    "op5_neighbours": op5_neighbours,
+    "op6_scoring": op6_scoring,
     "op7_secrets": op7_secrets,
     "op8_simhash": op8_simhash,
+    "op9_chunking": op9_chunking,
+    "op10_warc": op10_warc,
 }
