@@ -2,8 +2,8 @@
 
 Vectors get one more component so that all have the same length; then the largest inner product is the least distance.
 Centroids come from halving a bounded sample again and again at the median, so every list holds about equally many. A
-vector goes to its nearest list and, if it lies near a boundary, to other lists too: those at nearly the same distance that
-no chosen list is nearer to (Chen et al., 2021). Lists are found by a search in a graph of the centroids, held in
+vector goes to its nearest list and, if it lies near a boundary, to other lists at nearly the same distance too (Chen et
+al., 2021). Lists are found by a search in a graph of the centroids, held in
 memory. A query visits the lists whose distance is within a ratio of the nearest one's. (list, part) cells of bounded size
 are scored with exact inner products of the original vectors in double precision.
 
@@ -33,16 +33,18 @@ from foldstream.llm.common import staged
 class Lists:
     """sample_rows: vectors that centroids are fitted on. list_rows: vectors wanted in a list; there are never more lists than
     sample_rows / 8. replicas, boundary: most lists of a vector, and the distance ratio up to which it is copied.
-    probes, ratio: most lists of a query, and the distance ratio up to which they are visited. degree, beam: neighbours of a centroid
-    in the graph, and candidates that a search keeps. part_rows: vectors of a cell; query_rows: queries scored at once.
+    probes, ratio, sure: most lists of a query, the distance ratio up to which they are visited, and how many are visited whatever
+    their distance (a query amid its copies is very near to one list). degree, beam: neighbours of a centroid in the graph, and
+    candidates that a search keeps. part_rows: vectors of a cell; query_rows: queries scored at once.
     """
 
     sample_rows: int = 32_768
-    list_rows: int = 64
-    replicas: int = 4
+    list_rows: int = 256
+    replicas: int = 3
     boundary: float = 1.15
-    probes: int = 48
+    probes: int = 64
     ratio: float = 1.35
+    sure: int = 16
     degree: int = 24
     beam: int = 96
     part_rows: int = 20_000
@@ -144,16 +146,10 @@ class CentroidGraph:
 
 
 def posting(graph: CentroidGraph, x: np.ndarray, how: Lists) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) pairs: the nearest list, and boundary lists that no chosen list is nearer to."""
+    """(row, list) pairs: the nearest list, and those at nearly its distance."""
     ids, dist = graph.search(x, min(how.beam, 4 * how.replicas))
-    chosen = ids >= 0
-    chosen &= dist <= dist[:, :1] * how.boundary**2 + 1e-12
-    for j in range(1, ids.shape[1]):
-        for i in range(j):
-            gap = ((graph.c[ids[:, j]] - graph.c[ids[:, i]]) ** 2).sum(axis=1)
-            chosen[:, j] &= ~(chosen[:, i] & (gap < dist[:, j] * 0.5))
-        chosen[:, j] &= chosen[:, :j].sum(axis=1) < how.replicas
-    row, col = np.nonzero(chosen)
+    ids, dist = ids[:, :how.replicas], dist[:, :how.replicas]
+    row, col = np.nonzero((ids >= 0) & (dist <= dist[:, :1] * how.boundary**2 + 1e-12))
     return row, ids[row, col]
 
 
@@ -161,7 +157,9 @@ def probing(graph: CentroidGraph, q: np.ndarray, how: Lists) -> tuple[np.ndarray
     """(row, list) pairs: the lists a query visits."""
     ids, dist = graph.search(q, max(how.beam, how.probes))
     ids, dist = ids[:, :how.probes], dist[:, :how.probes]
-    row, col = np.nonzero((ids >= 0) & (dist <= dist[:, :1] * how.ratio**2 + 1e-12))
+    near = dist <= dist[:, :1] * how.ratio**2 + 1e-12
+    near[:, :how.sure] = True
+    row, col = np.nonzero((ids >= 0) & near)
     return row, ids[row, col]
 
 
