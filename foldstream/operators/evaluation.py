@@ -10,9 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foldstream.functions.metrics import discount, ideal_dcg, ndcg_ratio, reciprocal_log_gain
-from foldstream.operators.lookup import HOT_ROWS, lookup_join
+from foldstream.operators.lookup import lookup_join
 from foldstream.operators.retrieval import ranked
-from foldstream.operators.segments import ROWS_PER_SEGMENT, SEGMENT, row_numbers, with_segment
+from foldstream.operators.segments import ROWS_PER_SEGMENT, SEGMENT, row_numbers, running_by_key, with_segment
+from foldstream.session import staged
 
 # Fixed values of an evaluation whose request was not found.
 NO_ITEM = -1
@@ -91,7 +92,7 @@ def recommendations(merged: DataFrame, order: str = "descending") -> DataFrame:
     return packed.select("target_id", F.transform("l", lambda x: x["item_id"]).alias("topk"), "eval_id", "ts")
 
 
-def target_gain(requests: DataFrame, ranks: DataFrame, order: str = "descending", hot_rows: int = HOT_ROWS) -> DataFrame:
+def target_gain(requests: DataFrame, ranks: DataFrame, order: str = "descending") -> DataFrame:
     """Single-target nDCG of each request (user_id, item_id, ts and any eval_id) in its user's list.
 
     ranks: (user_id, item_id, rank), k rows per user. Only the target's rank is joined, so lists are
@@ -106,7 +107,7 @@ def target_gain(requests: DataFrame, ranks: DataFrame, order: str = "descending"
         raise ValueError(f"order: {order}")
     pair = F.struct("user_id", "item_id")
     table = ranks.select(pair.alias("pair"), place.alias("position"))
-    found = lookup_join(requests.withColumn("pair", pair), table, "pair", "left", hot_rows)
+    found = lookup_join(requests.withColumn("pair", pair), table, "pair", "left")
     kept = [c for c in ("eval_id", "ts") if c in requests.columns]
     return found.select(*kept, reciprocal_log_gain(F.col("position")).alias("ndcg"))
 
@@ -195,18 +196,19 @@ def session_by_key(df: DataFrame, key: str, arrival_us: str, gap_seconds: int, v
 
 
 def latency_stats(entered: DataFrame, left: DataFrame, group: str, percents: Sequence[int] = (50, 95, 99),
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
+                  rows_per_segment: int = ROWS_PER_SEGMENT) -> DataFrame:
     """Latency per group: (group, n, mean, lo, hi, p50, ...).
 
     entered: (eval_id, group, ts_in), unique on eval_id; left: (eval_id, ts_out). Percentiles are
     exact (the least value with that share of rows at or below it) and come from counts per
-    distinct latency, so a group's rows are never gathered.
+    distinct latency, so a group's rows are never gathered; counts run up over segments of bounded size.
     """
-    both = lookup_join(left.select("eval_id", "ts_out"), entered.select("eval_id", group, "ts_in"), "eval_id", "inner", hot_rows)
+    both = lookup_join(left.select("eval_id", "ts_out"), entered.select("eval_id", group, "ts_in"), "eval_id", "inner")
     counts = both.groupBy(group, (F.col("ts_out") - F.col("ts_in")).alias("latency")).agg(F.count(F.lit(1)).alias("n"))
-    upto = W.partitionBy(group).orderBy("latency").rowsBetween(W.unboundedPreceding, W.currentRow)
-    share = counts.select(group, "latency", "n", F.sum("n").over(upto).alias("upto"),
-                          F.sum("n").over(W.partitionBy(group)).alias("all"))
+    counts = staged(counts, "latencies")
+    totals = counts.groupBy(F.col(group).alias("_group")).agg(F.sum("n").alias("all"))
+    share = running_by_key(counts, [group], "latency", {"upto": ("sum", F.col("n"))}, rows_per_segment)
+    share = share.join(totals, F.col(group).eqNullSafe(F.col("_group")))
     return share.groupBy(group).agg(
         F.sum("n").alias("n"), (F.sum(F.col("latency") * F.col("n")) / F.sum("n")).alias("mean"),
         F.min("latency").alias("lo"), F.max("latency").alias("hi"),

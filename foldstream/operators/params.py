@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldstream.functions.vectors import no_nan
-from foldstream.operators.lookup import HOT_ROWS, lookup_join
+from foldstream.operators.lookup import lookup_join
 from foldstream.operators.segments import ROWS_PER_SEGMENT, SEGMENT, running_by_key, with_segment
 from foldstream.sources.text import PULL, PUSH
 
@@ -51,10 +51,10 @@ def vector_sum_any(df: DataFrame, key: str, vec: str = "vec") -> DataFrame:
     return packed.select("id", no_nan(same).alias("vec"))
 
 
-def pull_or_init(pulls: DataFrame, params: DataFrame, init: Init, hot_rows: int = HOT_ROWS) -> DataFrame:
+def pull_or_init(pulls: DataFrame, params: DataFrame, init: Init, hot: Sequence = ()) -> DataFrame:
     """Answer each pull (src, dest) with its key's vector, or the initial one if there is none."""
     found = lookup_join(pulls.select("src", "dest"), params.select(F.col("id").alias("dest"), "vec"),
-                        "dest", "left", hot_rows)
+                        "dest", "left", hot)
     # in its own step: inside an initialiser's lambda "dest" could mean the renamed column
     answered = found.withColumn("vec", F.coalesce("vec", init(F.col("dest"))))
     return answered.select(F.col("dest").alias("src"), F.col("src").alias("dest"), "vec")
@@ -86,8 +86,7 @@ def pull_asof(messages: DataFrame, dim: int, init: Init, params: DataFrame | Non
     seen = running_by_key(messages, ["dest"], "seq", running, rows_per_segment).where(F.col("kind") == PULL)
     start = F.when(F.col("first.kind") == PULL, init(F.col("dest")))
     if params is not None:
-        seen = lookup_join(seen, params.select(F.col("id").alias("dest"), F.col("vec").alias("known")), "dest",
-                           counted=messages)
+        seen = lookup_join(seen, params.select(F.col("id").alias("dest"), F.col("vec").alias("known")), "dest")
         start = F.coalesce("known", start)
     value = F.array(*(F.col(f"v{i}") + F.coalesce(F.get(start, F.lit(i)), F.lit(0.0)) for i in range(dim)))
     return seen.withColumn("vec", no_nan(value)).select(

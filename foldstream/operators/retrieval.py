@@ -38,6 +38,12 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(vectors), -1)
 
 
+def _no_nan(scores: np.ndarray) -> None:
+    """Infinite scores have a place in the order, undefined ones do not."""
+    if np.isnan(scores).any():
+        raise ValueError("a score is not a number")
+
+
 def _ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy()
 
@@ -50,6 +56,7 @@ def _entries(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """Per row the k best by (rounded score desc, id asc): row numbers, ids, scores and ranks."""
+    _no_nan(scores)
     n = scores.shape[1]
     if n > k:
         # the k-th greatest of block maxima is at most the k-th score and cheaper to find
@@ -57,7 +64,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]
         tops = scores[:, :blocks * _BLOCK].reshape(len(scores), blocks, _BLOCK).max(axis=2) if blocks >= k else scores
         bar = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k]
         # keeps everything that can tie with the k-th score after rounding
-        rows, cols = np.nonzero(scores >= bar[:, None] - 10.0 ** -SCORE_DIGITS)
+        rows, cols = np.nonzero(scores >= np.where(np.isinf(bar), bar, bar - 10.0 ** -SCORE_DIGITS)[:, None])
     else:
         rows, cols = np.divmod(np.arange(scores.size), n)
     picked_ids = ids[cols]
@@ -115,17 +122,21 @@ def _score_by_length(k: int, bucket_size: int) -> Callable:
             rows_q, rows_len = q[at:at + width], q_lengths[at:at + width]
             floor = users["floor"].to_numpy()[at:at + width]
             m = len(rows_q)
-            top_ids = np.full((m, k), np.iinfo(np.int64).max)
+            free = np.iinfo(np.int64).max  # an empty place comes last, after true scores of -inf
+            top_ids = np.full((m, k), free)
             top = np.full((m, k), -inf)
             active = np.arange(m)
             for b in range(0, len(item_ids), bucket_size):
                 # later buckets are shorter and k-th scores only rise: who is out stays out
                 bar = np.maximum(top[active, k - 1], floor[active])
-                reach = rows_len[active] * lengths[b]
-                active = active[reach * (1 + 1e-12) + slack >= bar]
+                with np.errstate(invalid="ignore"):
+                    reach = rows_len[active] * lengths[b]
+                # 0 * inf says nothing about the bucket: it is scored
+                active = active[np.isnan(reach) | (reach * (1 + 1e-12) + slack >= bar)]
                 if not len(active):
                     break
                 scores = np.round(rows_q[active] @ v[b:b + bucket_size].T, SCORE_DIGITS) + 0.0
+                _no_nan(scores)
                 better = scores.max(axis=1) >= top[active, k - 1]
                 changed, scores = active[better], scores[better]
                 ids = np.broadcast_to(item_ids[b:b + bucket_size], scores.shape)
@@ -134,7 +145,7 @@ def _score_by_length(k: int, bucket_size: int) -> Callable:
                 rank = np.lexsort((ids, -scores), axis=1)[:, :k]
                 top_ids[changed] = np.take_along_axis(ids, rank, axis=1)
                 top[changed] = np.take_along_axis(scores, rank, axis=1)
-            rows, cols = np.nonzero(top > -inf)
+            rows, cols = np.nonzero(top_ids != free)
             found.append((user_ids[at:at + width][rows], top_ids[rows, cols], top[rows, cols], cols + 1))
         return _table(part, *(np.concatenate(c) for c in zip(*found)))
 
@@ -288,12 +299,11 @@ def pruned_topk(users: DataFrame, items: DataFrame, k: int, bucket_size: int = 7
     bars = first.groupBy("user_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(-inf)).alias("floor"))
     reach = F.sqrt(length_sq(F.col("vec"))) * (1 + 1e-12)
-    rest = F.array(*(F.struct(F.lit(i).alias("part"), F.lit(t).alias("top")) for i, t in enumerate(tops) if i))
-    visits = (
-        users.join(bars, "user_id")
-        .select("user_id", "vec", "floor", F.explode(F.filter(
-            rest, lambda p: p["top"] * reach + 10.0 ** -SCORE_DIGITS >= F.col("floor"))["part"]).alias("part"))
-    )
+    # tops fall from part to part, so a user visits the first few parts; one row per part
+    later = F.broadcast(spark.createDataFrame([(i, float(t)) for i, t in enumerate(tops) if i], "part int, top double"))
+    bound = F.col("top") * F.col("reach") + 10.0 ** -SCORE_DIGITS
+    visits = (users.join(bars, "user_id").withColumn("reach", reach)
+              .join(later, F.isnan(bound) | (bound >= F.col("floor"))).select("user_id", "vec", "floor", "part"))
     more = _in_cells(visits, parted.where(F.col("part") > 0), n_users, len(tops) - 1, kernel, _PICKED)
     return _merge(first.unionByName(more), k, len(tops))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldstream.sources.text import PULL, PUSH
+from foldstream.sources.text import PULL, PUSH, require
 
 
 def split_tagged(df: DataFrame, left: str, tag: str = "kind") -> tuple[DataFrame, DataFrame]:
@@ -16,9 +16,8 @@ def split_tagged(df: DataFrame, left: str, tag: str = "kind") -> tuple[DataFrame
 
 def guard_kinds(df: DataFrame, allowed: list[str], tag: str = "kind") -> DataFrame:
     """The same rows; the job fails on a tag that is not allowed."""
-    checked = F.when(F.col(tag).isin(allowed), F.col(tag)).otherwise(
-        F.raise_error(F.concat(F.lit("kind not supported: "), F.coalesce(F.col(tag), F.lit("(missing)")))))
-    return df.withColumn(tag, checked)
+    return df.where(require(F.col(tag).isin(allowed), F.concat(
+        F.lit("kind not supported: "), F.coalesce(F.col(tag), F.lit("(missing)")))))
 
 
 def message_counts(messages: DataFrame) -> DataFrame:

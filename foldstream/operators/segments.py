@@ -8,6 +8,7 @@ running values are carried into the segments.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from math import ceil, inf
 
 from pyspark.ml.feature import Bucketizer
@@ -16,7 +17,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROWS_PER_SEGMENT = 5_000_000
-MAX_SEGMENTS = 10_000
 
 SEGMENT = "_segment"
 _OPS = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -24,7 +24,7 @@ _OPS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 def with_segment(df: DataFrame, order: str, rows_per_segment: int = ROWS_PER_SEGMENT) -> tuple[DataFrame, int]:
     """Add an int segment that never decreases in `order` (a numeric column)."""
-    n = min(MAX_SEGMENTS, ceil(df.count() / rows_per_segment))
+    n = ceil(df.count() / rows_per_segment)
     if n <= 1:
         return df.withColumn(SEGMENT, F.lit(0)), 1
     inner = df.approxQuantile(order, [i / n for i in range(1, n)], 1.0 / (4 * n))
@@ -45,7 +45,7 @@ def running_by_key(df: DataFrame, keys: Sequence[str], order: str,
     """Add, per key and in `order`, the running value (this row included) of each expression.
 
     `values` maps an output name to (operation, expression), operation one of sum, min, max.
-    Keys must not be null, and `order` should be unique within a key.
+    `order` should be unique within a key. Rows with a null key are one group, as in any window.
     """
     keys = list(keys)
     cut, n = with_segment(df, order, rows_per_segment)
@@ -59,10 +59,11 @@ def running_by_key(df: DataFrame, keys: Sequence[str], order: str,
     before = W.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(*keys, SEGMENT, *(
         _OPS[op](F.col(f"_t_{name}")).over(before).alias(f"_c_{name}") for name, (op, _) in values.items()))
-    joined = local.join(carried, [*keys, SEGMENT], "left")
-    kept = [F.col(c) for c in df.columns]
+    same = reduce(Column.__and__, [F.col(f"l.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, SEGMENT]])
+    joined = local.alias("l").join(carried.alias("c"), same, "left")
+    kept = [F.col(f"l.{c}") for c in df.columns]
     return joined.select(*kept, *(
-        _combine(op, F.col(f"_c_{name}"), F.col(name)).alias(name) for name, (op, _) in values.items()))
+        _combine(op, F.col(f"_c_{name}"), F.col(f"l.{name}")).alias(name) for name, (op, _) in values.items()))
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: str, name: str = "rn",

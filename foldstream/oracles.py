@@ -166,7 +166,7 @@ def prequential(slots: range = range(0, 5), seconds: int = 86_400_000) -> str:
 ORACLES: dict[str, str] = {
     "interactions_scan": f"WITH {INTERACTIONS} SELECT user_id, item_id, rating, ts FROM inter",
     "interactions_file": f"WITH {INTERACTIONS} SELECT user_id, item_id, rating, ts FROM inter",
-    "interactions_offset": f"WITH {INTERACTIONS} SELECT l_orderkey AS eval_id, user_id, item_id, rating, ts - 1390209861 AS ts FROM inter",
+    "interactions_offset": f"WITH {INTERACTIONS} SELECT l_orderkey AS eval_id, user_id, item_id, rating, ts - 1000000007 AS ts FROM inter",
     "dense_ids": f"WITH {REQUESTS} SELECT eval_id, user_id, item_id, rating, ts FROM req",
     "model_scan": unpack(EMB, "vec_id AS id", 64, 9, "q[p]"),
     "model_decode": unpack(EMB, "vec_id AS id", 64, 9, "q[p]"),
@@ -273,6 +273,7 @@ SELECT *, 'user' AS side FROM ({unpack('u1', 'id', 10)}) UNION ALL SELECT *, 'it
 {unpack('a', 'event_id', value='start[p] + seen[p]')}""",
 }
 ORACLES["topic_roundtrip"] = ORACLES["message_decode"]
+ORACLES["pruned_topk_parts"] = ORACLES["pruned_topk"]
 ORACLES["pull_stream"] = ORACLES["pull_asof"]
 ORACLES["param_stream"] = f"""WITH {messages()}, {totals()},
  m AS (SELECT *, CASE WHEN first = 'Pull' THEN {init3('id')} ELSE [0.0, 0.0, 0.0] END AS start FROM tot),

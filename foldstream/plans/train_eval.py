@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from foldstream.functions.vectors import init_vector
 from foldstream.operators.evaluation import slot_report, target_gain
-from foldstream.operators.retrieval import pruned_topk, topk
+from foldstream.operators.ids import dense_ids
+from foldstream.operators.retrieval import local_topk, pruned_topk, ranked, topk
 from foldstream.operators.training import item_index, sgd_deltas, training_pairs
 from foldstream.plans.loop import over_slots
 from foldstream.plans.store import ParamTable, read_batches, store_options
-from foldstream.session import cut_lineage, scratch_path
+from foldstream.session import cut_lineage, scratch_path, staged
+from foldstream.sources.sinks import save_report
+from foldstream.sources.text import read_interactions
 
 USER_SEED = 1
 ITEM_SEED = 2
@@ -26,6 +29,7 @@ DEFAULTS = {
     "lo": -0.001,
     "hi": 0.001,
     "k": 100,
+    "worker_k": 100,
     "bucket_size": 75,
     "slot_seconds": 86400,
 }
@@ -33,12 +37,18 @@ DEFAULTS = {
 
 @dataclass(frozen=True)
 class FactorConfig:
+    """Settings of the job. With `shards` over 1 every shard of the items offers its `worker_k` best, and the k best of
+    those are the list; a `worker_k` below k may then leave out items that are among the k best of all.
+    """
+
     learning_rate: float = DEFAULTS["learning_rate"]
     negatives: int = DEFAULTS["negatives"]
     dim: int = DEFAULTS["dim"]
     lo: float = DEFAULTS["lo"]
     hi: float = DEFAULTS["hi"]
     k: int = DEFAULTS["k"]
+    worker_k: int = DEFAULTS["worker_k"]
+    shards: int = 1
     bucket_size: int = DEFAULTS["bucket_size"]
     slot_seconds: int = DEFAULTS["slot_seconds"]
     order: str = "descending"
@@ -57,10 +67,10 @@ class TrainEval:
     """Users, items and per-request results of a run, all below `root`."""
 
     def __init__(self, spark: SparkSession, root: str, config: FactorConfig):
-        options = store_options(config.store)
+        self.user_precision = store_options(config.store)["user_precision"]
         self.spark, self.config = spark, config
-        self.users = ParamTable(spark, f"{root}/users", config.dim, **options)
-        self.items = ParamTable(spark, f"{root}/items", config.dim, **options)
+        self.users = ParamTable(spark, f"{root}/users", config.dim)
+        self.items = ParamTable(spark, f"{root}/items", config.dim)
         self.out = f"{root}/results"
 
     def create(self, users: DataFrame | None = None, items: DataFrame | None = None) -> TrainEval:
@@ -72,11 +82,11 @@ class TrainEval:
     def process(self, requests: DataFrame, batch_id: int) -> None:
         """requests: (eval_id, user_id, item_id, rating, ts). Results hold (eval_id, ndcg, ts)."""
         c = self.config
-        wanted = requests.select(F.col("user_id").alias("id")).distinct()
-        held = wanted.join(self.users.read(batch_id).withColumn("old", F.lit(True)), "id", "left")
-        users = cut_lineage(held.select("id", F.coalesce("vec", c.user_init(F.col("id"))).alias("vec"),
-                                        F.col("old").isNull().alias("new")))
-        known = cut_lineage(self.items.read(batch_id))
+        wanted = staged(requests.select(F.col("user_id").alias("id")).distinct(), "wanted")
+        held = wanted.join(self.users.read(batch_id, wanted).withColumn("old", F.lit(True)), "id", "left")
+        users = staged(held.select("id", F.coalesce("vec", c.user_init(F.col("id"))).alias("vec"),
+                                   F.col("old").isNull().alias("new")), "users")
+        known = staged(self.items.read(batch_id), "items")
         fresh = requests.select(F.col("item_id").alias("id")).distinct().join(known, "id", "left_anti").select(
             "id", c.item_init(F.col("id")).alias("vec"))
 
@@ -85,7 +95,8 @@ class TrainEval:
 
         items, n = item_index(known.unionByName(fresh))
         pairs = training_pairs(requests, items.select("id", "idx"), n, c.negatives, c.seed)
-        user_deltas, item_deltas = sgd_deltas(pairs, users, items, c.dim, c.learning_rate, users.count(), n)
+        user_deltas, item_deltas = sgd_deltas(pairs, users, items, c.dim, c.learning_rate, users.count(), n,
+                                              self.user_precision)
         self.users.append(users.where("new").select("id", "vec").unionByName(user_deltas), batch_id)
         self.items.append(fresh.unionByName(item_deltas), batch_id)
 
@@ -97,6 +108,10 @@ class TrainEval:
         c = self.config
         queries = users.select(F.col("id").alias("user_id"), "vec")
         catalog = items.select(F.col("id").alias("item_id"), "vec")
+        if c.shards > 1:
+            sharded = catalog.withColumn("shard", F.pmod("item_id", F.lit(c.shards)).cast("int"))
+            offered = local_topk(queries, sharded, c.worker_k).drop("rank", "shard")
+            return ranked(offered, c.k, ["user_id"])
         if c.pruned:
             return pruned_topk(queries, catalog, c.k, c.bucket_size)
         return topk(queries, catalog, c.k)
@@ -119,6 +134,15 @@ def online_train_eval(requests: DataFrame, items: DataFrame | None, config: Fact
     return slot_report(prequential(requests, items, config, batch_seconds, root), config.slot_seconds)
 
 
+def run_job(spark: SparkSession, interactions: str, report: str, config: FactorConfig, batch_seconds: int,
+            items: DataFrame | None = None) -> DataFrame:
+    """The job from files to a file: `ts,user,item` lines in, `slot,ndcg,n` lines out; also gives the report."""
+    requests = dense_ids(read_interactions(spark, interactions), ["ts", "user_id", "item_id"])
+    result = staged(online_train_eval(requests, items, config, batch_seconds), "report")
+    save_report(result, report)
+    return result
+
+
 def evaluate_fixed(requests: DataFrame, config: FactorConfig) -> DataFrame:
     """Report of untrained vectors over all requests: initial vectors, top-K, metric, slots."""
     requests = cut_lineage(requests.select("user_id", "item_id", "ts"))

@@ -67,7 +67,7 @@ def interactions_scan(spark, sf):
 def interactions_offset(spark, sf):
     rows = t._lines_with_orders(spark, sf)
     lines = rows.select(F.concat_ws(",", "l_orderkey", "ts", "user_id", "item_id").alias("value"))
-    return text.decode_interactions(lines, eval_id=0, ts=1, user=2, item=3, ts_offset=1390209861)
+    return text.decode_interactions(lines, eval_id=0, ts=1, user=2, item=3, ts_offset=1000000007)
 
 
 @query
@@ -360,6 +360,12 @@ def pruned_topk(spark, sf):
     return retrieval.pruned_topk(t.query_vectors(spark, sf), t.item_vectors(spark, sf), CONFIG.k)
 
 
+@query
+def pruned_topk_parts(spark, sf):
+    """The same over many parts by falling length, of which a user visits the first few."""
+    return retrieval.pruned_topk(t.query_vectors(spark, sf), t.item_vectors(spark, sf), CONFIG.k, part_items=40)
+
+
 @query
 def shard_topk(spark, sf):
     users = _customers(spark, sf).withColumn("shard", (F.col("user_id") % N_SHARDS).cast("int"))

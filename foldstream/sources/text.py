@@ -84,12 +84,17 @@ def _message_fields(lines: DataFrame) -> tuple[Column, Column, Column, Column]:
     return tuple(F.get(parts, F.lit(i)) for i in range(4))
 
 
+def require(condition: Column, message: Column) -> Column:
+    """A condition for a filter: true, or the job fails with the message."""
+    return F.when(condition, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+
+
 def decode_messages(lines: DataFrame) -> DataFrame:
     """`Pull:src:dest` and `Push:src:dest:v0,...` to (kind, src, dest, vec); others end the job."""
     kind, src, dest, payload = _message_fields(lines)
-    known = F.when(kind.isin(PULL, PUSH), kind).otherwise(
-        F.raise_error(F.concat(F.lit("message kind not supported: "), kind)))
-    return lines.select(known.alias("kind"), _strict(src, "bigint").alias("src"),
+    # a filter, so that the check stays when the kind is not selected
+    known = require(kind.isin(PULL, PUSH), F.concat(F.lit("message kind not supported: "), F.coalesce(kind, F.lit("(missing)"))))
+    return lines.where(known).select(kind.alias("kind"), _strict(src, "bigint").alias("src"),
                         _strict(dest, "bigint").alias("dest"),
                         F.when(kind == PUSH, _strict_vector(payload)).alias("vec"))
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foldstream.operators.params import Init, _batch_totals, _plus_totals, pull_asof, push_delta
 from foldstream.plans.store import ParamTable
+from foldstream.session import staged
 from foldstream.sources.text import PULL, PUSH
 from foldstream.streaming.run import each_batch
 
@@ -35,14 +36,14 @@ def serve_from_table(messages: DataFrame, table: ParamTable, out: str, init: Ini
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        params = table.read(batch_id)
+        wanted = staged(batch.select(F.col("dest").alias("id")).where("id is not null").distinct(), "wanted")
+        params = table.read(batch_id, wanted)
         pull_asof(batch, table.dim, init, params).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         table.append(push_delta(params, batch, table.dim, init), batch_id)
 
     return each_batch(messages, process, checkpoint)
 
 
-
 def _plain(vec) -> list[float] | None:
     """State is kept as plain numbers; Arrow hands over numpy ones."""
     return None if vec is None else [float(x) for x in vec]
@@ -79,57 +80,3 @@ def keyed_server(messages: DataFrame, on_pull: OnPull, on_push: OnPush) -> DataF
 
     return messages.groupBy("dest").applyInPandasWithState(
         update, ANSWERS, "vec array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-def sync_server(messages: DataFrame, init: Callable[[int], list], lock_timeout_ms: int = 5000) -> DataFrame:
-    """Answers (src, dest, vec) of the synchronous server: one outstanding pull per key.
-
-    A pull locks its key; later pulls wait for the push that releases it. A lock older than
-    `lock_timeout_ms` is released, so a lost push holds its key up for that long only. `init` maps
-    a key to the vector it starts with when a pull comes first. The timers need a query that keeps
-    running: use a processing-time trigger, since one that ends with its input would wait for them.
-    """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        vec, locked, waiting = None, False, []
-        if state.exists:
-            vec, locked, waiting = state.get
-            vec, waiting = _plain(vec), [int(src) for src in waiting]
-        out = []
-
-        def answer(src: int) -> None:
-            nonlocal vec, locked
-            if vec is None:
-                vec = list(init(key[0]))
-            locked = True
-            out.append((key[0], src, list(vec)))
-
-        def release() -> None:
-            nonlocal locked
-            locked = False
-            if waiting:
-                answer(waiting.pop(0))
-
-        if state.hasTimedOut:
-            release()
-        else:
-            rows = pd.concat(list(batches)).sort_values("seq")
-            for kind, src, delta in zip(rows["kind"], rows["src"], rows["vec"]):
-                if kind == PUSH:
-                    delta = _plain(delta)
-                    vec = delta if vec is None else [a + b for a, b in zip(vec, delta, strict=True)]
-                    release()
-                elif kind == PULL and locked:
-                    waiting.append(int(src))
-                elif kind == PULL:
-                    answer(int(src))
-                else:
-                    raise ValueError(f"message kind not supported: {kind}")
-        state.update((vec, locked, waiting))
-        if locked:
-            state.setTimeoutDuration(lock_timeout_ms)
-        yield pd.DataFrame(out, columns=["src", "dest", "vec"])
-
-    return messages.groupBy("dest").applyInPandasWithState(
-        update, ANSWERS, "vec array<double>, locked boolean, waiting array<bigint>", "append",
-        GroupStateTimeout.ProcessingTimeTimeout)

@@ -13,10 +13,15 @@ def each_batch(stream: DataFrame, process: Callable[[DataFrame, int], None], che
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(process)
 
 
-def run_available(writer: DataStreamWriter, timeout: int = 600) -> StreamingQuery:
-    """Process what is there, in as many micro-batches as the source's limit asks for, and stop."""
+def run_available(writer: DataStreamWriter, timeout: int | None = None) -> StreamingQuery:
+    """Process what is there, in as many micro-batches as the source's limit asks for, and stop.
+
+    Without a `timeout` in seconds a backlog may take as long as it needs.
+    """
     query = writer.trigger(availableNow=True).start()
-    if not query.awaitTermination(timeout):
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream still running after {timeout} s")
     return query

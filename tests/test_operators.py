@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foldstream.functions.vectors import init_vector
 from foldstream.operators import evaluation, lookup, params, routing, segments
 from foldstream.operators.ids import dense_ids
+from foldstream.sources.text import decode_messages
 
 MESSAGE = "kind string, src bigint, dest bigint, vec array<double>, seq bigint"
 
@@ -95,9 +96,8 @@ def test_lookup_salts_hot_keys(spark, how):
     facts = spark.createDataFrame([(i, 7 if i % 3 == 0 else i % 50) for i in range(900)], "x int, k int")
     facts = facts.unionByName(spark.createDataFrame([(-1, None), (-2, None)], "x int, k int"))
     table = spark.range(0, 40).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("y"))
-    assert lookup.hot_keys(facts, "k", 100) and not lookup.hot_keys(facts, "k", 1000)
     plain = facts.join(table, "k", how).select("x", "k", "y")
-    for options in ({"hot_rows": 100}, {"hot_rows": 10}, {"table_bytes": 100}):
+    for options in ({"hot": [7]}, {"hot": [7, 49, -5]}, {}, {"table_bytes": 100}):
         got = lookup.lookup_join(facts, table, "k", how, **options).select("x", "k", "y")
         assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
 
@@ -112,6 +112,23 @@ def test_split_keeps_every_row(spark):
     assert routing.union_outputs(left, right).count() == 3
 
 
+@pytest.mark.parametrize("per_segment", [5, 1000])
+def test_null_keys_are_one_group(spark, per_segment):
+    df = spark.createDataFrame([(None if i % 2 else 1, i, 1) for i in range(40)], "k int, seq bigint, x int")
+    got = segments.running_by_key(df, ["k"], "seq", {"run": ("sum", F.col("x"))}, per_segment).collect()
+    for k in (None, 1):
+        assert [r["run"] for r in sorted((r for r in got if r["k"] == k), key=lambda r: r["seq"])] == list(range(1, 21))
+
+
+def test_guards_stay_when_the_kind_is_not_selected(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "kind string, x int")
+    with pytest.raises(Exception, match="kind not supported: b"):
+        routing.guard_kinds(df, ["a"]).select("x").collect()
+    lines = spark.createDataFrame([("Poke:1:2",)], "value string")
+    with pytest.raises(Exception, match="message kind not supported: Poke"):
+        decode_messages(lines).select("src").collect()
+
+
 def test_guard(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "kind string, x int")
     assert routing.guard_kinds(df, ["a", "b"]).count() == 2
@@ -119,28 +136,28 @@ def test_guard(spark):
         routing.guard_kinds(df, ["a"]).collect()
 
 
-def test_outputs_only(spark):
-    pulls = spark.createDataFrame([(s, d) for s, d in zip(range(20), range(20, 0, -1))], "src int, dest int")
-    emitted = pulls.select(F.lit("output").alias("kind"), F.array("dest", "src", F.pow("dest", "src")).alias("v"))
-    outputs, sent = routing.split_tagged(emitted, "output")
-    assert outputs.count() == 20 and sent.count() == 0
+def test_outputs_and_messages_part(spark):
+    sent = make_messages(60)
+    emitted = spark.createDataFrame(sent, MESSAGE).select("src", "dest", "kind")
+    outputs, rest = routing.split_tagged(emitted, "Push")
+    assert outputs.count() == sum(m[0] == "Push" for m in sent) and rest.count() == sum(m[0] == "Pull" for m in sent)
 
 
 # --- parameters -----------------------------------------------------------------------------
 
 
 def test_pull_answers(spark):
-    """Four pulls answered with [dest, src, dest ^ src]."""
-    pulls = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 2)], "src bigint, dest bigint")
-    answers = pulls.select(F.col("dest").alias("src"), F.col("src").alias("dest"),
-                           F.array(F.col("dest").cast("double"), F.col("src").cast("double"), F.pow("dest", "src")).alias("vec"))
-    assert rows(answers) == [(1, 1, [1, 1, 1]), (1, 2, [1, 2, 1]), (2, 3, [2, 3, 8]), (2, 4, [2, 4, 16])]
+    """Every pull is answered with its key's vector, to the one who asked."""
+    pulls = spark.createDataFrame([(s, d) for s, d in zip(range(10, 18), [3, 3, 5, 8, 8, 8, 1, 5])], "src bigint, dest bigint")
+    held = spark.createDataFrame([(k, [k * 2.0, k - 0.5]) for k in (1, 3, 5, 8)], "id bigint, vec array<double>")
+    got = rows(params.pull_or_init(pulls, held, init))
+    assert got == sorted((d, s, [d * 2.0, d - 0.5]) for s, d in zip(range(10, 18), [3, 3, 5, 8, 8, 8, 1, 5]))
 
 
 def test_pull_or_init(spark):
     pulls = spark.createDataFrame([(10, 1), (11, 2), (12, 1)], "src bigint, dest bigint")
     held = spark.createDataFrame([(1, [5.0, 6.0])], "id bigint, vec array<double>")
-    for hot in (1, 1000):
+    for hot in ([], [1]):
         got = [(s, d, v) for s, d, v in rows(params.pull_or_init(pulls, held, init, hot))]
         assert got == [(1, 10, [5.0, 6.0]), (1, 12, [5.0, 6.0]), (2, 11, start(spark, 2))]
     assert rows(params.append_initialised(held, pulls, init)) == [(1, [5.0, 6.0]), (2, start(spark, 2))]
@@ -307,9 +324,8 @@ def test_merge_and_lists(spark):
 def test_target_gain_orders(spark):
     ranks = spark.createDataFrame([(1, 10 + r, 1.0 - r / 10, r) for r in range(1, 5)], "user_id bigint, item_id bigint, score double, rank int")
     asked = spark.createDataFrame([(0, 1, 11, 5), (1, 1, 14, 6), (2, 1, 99, 7), (3, 2, 11, 8)], "eval_id bigint, user_id bigint, item_id bigint, ts bigint")
-    for hot in (1, 1000):
-        down = [x for _, _, x in rows(evaluation.target_gain(asked, ranks, hot_rows=hot).select("eval_id", "ts", "ndcg"))]
-        assert down == pytest.approx([1.0, 1 / 3, 0.0, 0.0])
+    down = [x for _, _, x in rows(evaluation.target_gain(asked, ranks).select("eval_id", "ts", "ndcg"))]
+    assert down == pytest.approx([1.0, 1 / 3, 0.0, 0.0])
     up = [x for _, _, x in rows(evaluation.target_gain(asked, ranks, "ascending").select("eval_id", "ts", "ndcg"))]
     assert up == pytest.approx([1 / 3, 1.0, 0.0, 0.0])
 

@@ -11,8 +11,9 @@ from foldstream.operators import training
 from foldstream.operators.params import vector_sum
 from foldstream.plans.loop import ParameterLoop, over_slots
 from foldstream.plans.store import ParamTable, read_batches, store_options
-from foldstream.plans.train_eval import FactorConfig, TrainEval, evaluate_fixed, online_train_eval, prequential
+from foldstream.plans.train_eval import FactorConfig, TrainEval, evaluate_fixed, online_train_eval, prequential, run_job
 from foldstream.session import scratch_path
+from foldstream.sources.sinks import read_report
 from foldstream.streaming.run import each_batch, run_available
 
 REQUEST = "eval_id bigint, user_id bigint, item_id bigint, rating double, ts bigint"
@@ -76,9 +77,8 @@ def same(df, expected):
 def test_sgd_step(spark, requests, broadcast, monkeypatch):
     users, items = starts(spark, 4, 4, -0.5, 0.5, 1), starts(spark, 15, 4, -0.5, 0.5, 2)
     expected_users, expected_items = train(make_requests(), users, items, CONFIG)
-    if not broadcast:  # shuffle both sides, and salt the user with most requests
+    if not broadcast:  # shuffle both sides
         monkeypatch.setattr("foldstream.operators.lookup.BROADCAST_BYTES", 0)
-        monkeypatch.setattr(training.sgd_deltas, "__defaults__", (30,))
     u, i = training.sgd_step(requests, *tables(spark, users, items), 4, 0.05, 3)
     same(u, expected_users)
     same(i, expected_items)
@@ -128,6 +128,66 @@ def test_store_variants(spark, requests, variant):
         store_options("other")
 
 
+def test_increments_of_users_in_single_precision(spark, requests):
+    users, items = starts(spark, 4, 4, -0.5, 0.5, 1), starts(spark, 15, 4, -0.5, 0.5, 2)
+    indexed, n = training.item_index(tables(spark, users, items)[1])
+    pairs = training.training_pairs(requests, indexed.select("id", "idx"), n, 3)
+    deltas, exact = {}, {}
+    for precision, out in (("float", deltas), ("double", exact)):
+        both = training.sgd_deltas(pairs, tables(spark, users, items)[0], indexed, 4, 0.05, 4, n, precision)
+        out.update({side: {r["id"]: np.array(r["vec"]) for r in df.collect()} for side, df in zip(("user", "item"), both)})
+    expected = {}
+    for one in make_requests():  # a request's increment is rounded, then added
+        u, _ = train([one], users, items, CONFIG)
+        step = np.float32(u[one[1]] - users[one[1]]).astype(float)
+        expected[one[1]] = expected.get(one[1], 0) + step
+    for u, d in expected.items():
+        assert deltas["user"][u] == pytest.approx(d, abs=1e-9)
+    assert any((deltas["user"][u] != exact["user"][u]).any() for u in expected)
+    assert all(deltas["item"][i] == pytest.approx(exact["item"][i], abs=1e-12) for i in exact["item"])
+
+
+def test_initial_vectors_keep_double_precision(spark):
+    run = TrainEval(spark, scratch_path(spark, "precise"), replace(CONFIG, store="kafkaredis", dim=1)).create(
+        users=spark.createDataFrame([(1, [0.1])], "id bigint, vec array<double>"))
+    assert run.users.read(0).first()["vec"] == [0.1]
+
+
+def test_reading_keys_moves_no_other_rows(spark):
+    held = ParamTable(spark, scratch_path(spark, "keys"), 1, 100).create(
+        spark.range(1000).select("id", F.array(F.lit(1.0)).alias("vec")))
+    for b in range(3):
+        held.append(spark.createDataFrame([(5, [1.0]), (2000 + b, [1.0])], "id bigint, vec array<double>"), b)
+    wanted = spark.createDataFrame([(5,), (7,), (2001,), (9999,)], "id bigint")
+    got = held.read(3, wanted)
+    assert dict(rows(got)) == {5: [4.0], 7: [1.0], 2001: [1.0]}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.index("Exchange hashpartitioning") < plan.index("BroadcastHashJoin")
+
+
+def test_slots_are_written_by_few_tasks(spark, requests):
+    seen = []
+    over_slots(lambda df, b: seen.append(df.inputFiles()), requests.repartition(40), 5)
+    files = {f for fs in seen for f in fs}
+    assert len(files) <= len(seen) + int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_job_from_file_to_file(spark, requests, tmp_path):
+    src, dst = str(tmp_path / "in"), str(tmp_path / "report")
+    requests.select(F.concat_ws(",", "ts", "user_id", "item_id").alias("value")).write.text(src)
+    report = rows(run_job(spark, src, dst, CONFIG, 15))
+    assert sum(n for *_, n in report) == 120
+    assert sorted(tuple(r) for r in read_report(spark, dst).collect()) == report
+
+
+def test_shards_offer_their_best(spark):
+    users = spark.createDataFrame([(1, [1.0])], "id bigint, vec array<double>")
+    items = spark.createDataFrame([(i, [float(i)]) for i in range(12)], "id bigint, vec array<double>")
+    for worker_k, best in ((5, [11, 10, 9, 8, 7]), (1, [11, 10, 9])):
+        run = TrainEval(spark, scratch_path(spark, "shards"), replace(CONFIG, dim=1, shards=3, worker_k=worker_k))
+        assert [r["item_id"] for r in run.rank(users, items).sort("rank").collect()] == best
+
+
 def test_report_of_fixed_vectors(spark, requests):
     users, items = starts(spark, 4, 4, -0.5, 0.5, 1), starts(spark, 15, 4, -0.5, 0.5, 2)
     items = {i: items[i] for i in {r[2] for r in make_requests()}}

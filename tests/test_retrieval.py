@@ -115,3 +115,21 @@ def test_cells_are_repartitioned_once(model):
     cells = plan[plan.index("FlatMapCoGroupsInArrow"):]
     assert cells.count("Exchange") == 3  # users, packed items, and packing itself
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("part_items", [30, 1000])
+def test_infinite_and_undefined_scores(spark, part_items):
+    users = spark.createDataFrame([(1, [1.0, 0.0])], "user_id bigint, vec array<double>")
+    finite = [(i, [float(i), 0.0]) for i in range(100)]
+    low = [(200, [float("-inf"), 1.0]), (201, [float("inf"), 1.0])]
+    ends = [(u, [1.0, 1.0]) for u in (1,)]
+    asked = spark.createDataFrame(ends, "user_id bigint, vec array<double>")
+    schema = "item_id bigint, vec array<double>"
+    few = spark.createDataFrame(low + finite[:2], schema)
+    for fn in (retrieval.topk, retrieval.pruned_topk):
+        got = [r["item_id"] for r in fn(asked, spark.createDataFrame(low + finite, schema), 3, part_items=part_items).sort("rank").collect()]
+        assert got == [201, 99, 98]
+        assert [r["item_id"] for r in fn(asked, few, 4, part_items=part_items).sort("rank").collect()] == [201, 1, 0, 200]
+        undefined = spark.createDataFrame([(0, [0.0, float("inf")])] + finite[1:], schema)
+        with pytest.raises(Exception, match="not a number"):
+            fn(users, undefined, 3, part_items=part_items).collect()

@@ -76,39 +76,6 @@ def test_callbacks(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == sorted(expected)
 
 
-def sync_answers(spark, tmp_path, init, timeout_ms, pieces, expected, seconds=60):
-    """Run the synchronous server until it gave `expected` answers. Its timers keep it running."""
-    path, out = str(tmp_path / "in"), str(tmp_path / "out")
-    spark.createDataFrame([], MESSAGE).write.parquet(path)
-    stream = spark.readStream.schema(MESSAGE).parquet(path)
-    query = to_files(params.sync_server(stream, init, timeout_ms), tmp_path).trigger(processingTime="500 milliseconds").start()
-    try:
-        for piece in pieces:
-            spark.createDataFrame(piece, MESSAGE).coalesce(1).write.mode("append").parquet(path)
-        got, deadline = [], time.time() + seconds
-        while len(got) < expected and time.time() < deadline:
-            time.sleep(1)
-            if query.lastProgress:
-                got = rows(spark.read.schema(params.ANSWERS).parquet(out))
-    finally:
-        query.stop()
-    return got
-
-
-def test_synchronous_server(spark, tmp_path):
-    sent = make_messages(150)
-    vectors = {k: start(spark, k) for k in range(13)}
-    expected = sorted((d, s, v) for d, s, _, v in replay_sync(spark, sent)[0])
-    got = sync_answers(spark, tmp_path, vectors.__getitem__, 3_600_000, [sent[:60], sent[60:]], len(expected))
-    close(got, expected)
-
-
-def test_lost_push_releases_the_lock(spark, tmp_path):
-    """Two pulls and no push: the second is answered once the lock times out."""
-    sent = [("Pull", 1, 7, None, 1), ("Pull", 2, 7, None, 2)]
-    assert sync_answers(spark, tmp_path, lambda key: [1.0], 500, [sent], 2) == [(7, 1, [1.0]), (7, 2, [1.0])]
-
-
 def test_topic_roundtrip(spark, tmp_path):
     topic, back = str(tmp_path / "topic"), str(tmp_path / "back")
     sent = ["Pull:1:2", "Push:3:4:1.0,2.5", "Pull:5:6"]
