@@ -36,9 +36,10 @@ LONG_TEXT = 1 << 20
 PIECES_AT_ONCE = 1 << 14
 #: First bytes of characters beyond the first 65,536.
 FOUR_BYTES = bytes(range(0xF0, 0xF5))
-MOST_STATES = 150_000
-MOST_PAIRS = 1_000_000
-MOST_PIECES = 250_000
+MOST_STATES = 80_000
+FEW_TOKENS = 16
+MOST_PAIRS = 300_000
+MOST_PIECES = 100_000
 
 # Code points that are letters or numbers since Unicode 17. The tables of the library whose
 # results are to be met end with Unicode 16 and take them for neither.
@@ -80,7 +81,20 @@ class Vocabulary:
                     self.token_at.append(-1)
                 node = self.tree[node][b]
             self.token_at[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by before << 32 | token
+        # tokens further down the tree, where they are few
+        self.ahead: list[list[int] | None] = [None] * len(self.tree)
+        for node in range(len(self.tree) - 1, -1, -1):
+            found: list[int] | None = []
+            for below in self.tree[node].values():
+                rest = self.ahead[below]
+                if rest is None or len(found) + len(rest) >= FEW_TOKENS:
+                    found = None
+                    break
+                found += ([self.token_at[below]] if self.token_at[below] >= 0 else []) + rest
+            self.ahead[node] = found
+        self._stands_for: dict[int, int] = {}
+        self._first_like: dict[tuple[int, int], int] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """Tokens of a short piece by the merges themselves: always the pair of lowest rank, leftmost first."""
@@ -105,10 +119,31 @@ class Vocabulary:
         if len(self.pairs) > MOST_PAIRS:
             self.pairs.clear()
         known = self.merged(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
-        self.pairs[before, token] = known
+        self.pairs[before << 32 | token] = known
         return known
 
 
+    def like(self, node: int, last: int) -> int:
+        """A token that the same tokens below `node` fit after as after `last`; -1 if none of them fits.
+
+        It keeps states apart only where their future differs.
+        """
+        key = node << 32 | last
+        found = self._stands_for.get(key)
+        if found is None:
+            bits = 1
+            for token in self.ahead[node]:
+                fits = self.pairs.get(last << 32 | token)
+                bits = bits << 1 | (self.fits(last, token) if fits is None else fits)
+            none = bits == 1 << len(self.ahead[node])
+            if len(self._stands_for) > MOST_PAIRS:
+                self._stands_for.clear()
+            if len(self._first_like) > MOST_PAIRS:
+                self._first_like.clear()
+            found = self._stands_for[key] = -1 if none else self._first_like.setdefault((node, bits), last)
+        return found
+
+
 class Transducer:
     """Bytes in, tokens out. A live prefix is (place in the tree, last token or -1, tokens not yet emitted)."""
 
@@ -132,10 +167,14 @@ class Transducer:
                 continue
             token = token_at[below]
             if new is None and token >= 0:
-                fits = True if last < 0 else pairs.get((last, token))
+                fits = True if last < 0 else pairs.get(last << 32 | token)
                 if v.fits(last, token) if fits is None else fits:
                     new = (0, token, (*out, token))
             if tree[below]:
+                if last >= 0 and v.ahead[below] is not None:
+                    last = v.like(below, last)
+                    if last < 0:
+                        continue  # no token will ever begin there
                 live.append((below, last, out))
         if new is None:
             raise ValueError("the vocabulary has no token for some byte")

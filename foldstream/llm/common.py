@@ -15,6 +15,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table of at most so many rows of a few numbers each may be broadcast.
 BROADCAST_ROWS = 200_000
+TEXTS_AT_ONCE = 512
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -42,12 +43,14 @@ def small_or_not(df: DataFrame, rows: int | None = None) -> DataFrame:
 def text_udf(fn: Callable[[list[bytes]], Iterable], returns: str, arrow_type: pa.DataType):
     """Column function over a text column cast to binary.
 
-    `fn` gets the texts of one Arrow batch (null as an empty text) and gives one value each. Marked
-    as non-deterministic so that Spark never evaluates it twice for one row.
+    `fn` gets a list of texts (null as an empty text), some at a time so that few are held twice, and gives one value
+    each. Marked as non-deterministic so that Spark never evaluates it twice for one row.
     """
     def run(texts: pa.Array) -> pa.Array:
-        values = [b or b"" for b in texts.to_pylist()]
-        return pa.array(list(fn(values)), type=arrow_type)
+        done = []
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            done += fn([b or b"" for b in texts.slice(at, TEXTS_AT_ONCE).to_pylist()])
+        return pa.array(done, type=arrow_type)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     made = F.arrow_udf(run, returns).asNondeterministic()
