@@ -70,10 +70,11 @@ def apply_copies(df: DataFrame, decisions: DataFrame) -> DataFrame:
 
     `decisions` has one row for each different row of `df` that stays: _row_a, _row_b (see
     `identity_columns`), _rows (how often the row occurs in `df`), _copies (how often it shall occur,
-    over 0). Rows that occur once are repeated in place; only repeated rows are brought together.
+    over 0). Rows and decisions, both one for each row, meet in a shuffle. Rows that occur once are repeated in place; only
+    repeated rows are brought together once more.
     """
     columns = [F.col(f"`{c}`") for c in df.columns]
-    keyed = df.select("*", *identity_columns(df)).join(small_or_not(decisions), ["_row_a", "_row_b"])
+    keyed = df.select("*", *identity_columns(df)).join(decisions, ["_row_a", "_row_b"])
     single = keyed.where("_rows = 1")
     many = keyed.where("_rows > 1").dropDuplicates(["_row_a", "_row_b"])
     either = single if decisions.where("_rows > 1").isEmpty() else single.unionByName(many)
