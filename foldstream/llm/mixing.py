@@ -30,7 +30,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
 MOST = 2.0
 #: Documents of a source that one task rounds together.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 #: Documents of a source kept back for the landing, whose 2 ** (LANDING_ROWS + 2) roundings are compared.
 LANDING_ROWS = 12
 _NEAR = 1e-9
