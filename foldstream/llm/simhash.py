@@ -12,6 +12,12 @@ Equal fingerprints are one trie entry from the start, so copies, however many, c
 Defined results: null, empty and wordless texts have the fingerprint zero and link like any other. Repeated
 rows share a fingerprint and a group. A null doc_id belongs to its group but is never its smallest id, unless
 all are null. Other columns play no part.
+
+`keep_one_alike` groups by similarity of the texts themselves: documents whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more. At that similarity fingerprints differ in some ten bits of 64, which no trie join carries.
+So fingerprints give the first links, each confirmed on the shingles, and a prefix join finds all others: two sets that
+similar share one of the first n - ceil(0.8 n) + 1 of their n hashes, in any order that all sets have in common. Hashes
+in many sets come last in it, and hashes whose sets are all linked already are dropped, before pairs are formed.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldstream.llm.common import apply_copies, identity_columns, staged, text_udf
+from foldstream.llm.common import apply_copies, identity_columns, small_or_not, staged, text_udf
 from foldstream.llm.components import component_of
 
 SEED = 42
@@ -52,7 +58,10 @@ def shingles(text: bytes, size: int) -> list[bytes]:
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     """Unsigned 64 bits: a bit is set if more than half of the shingles' hashes have it."""
-    found = shingles(text, size)
+    return _vote(shingles(text, size))
+
+
+def _vote(found: list[bytes]) -> int:
     if not found:
         return 0
     votes, digest = np.zeros(64), xxhash.xxh64_digest
@@ -281,3 +290,137 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
     first = grouped.groupBy("_group").agg(F.min(order).alias("first")).select("first._row_a", "first._row_b")
     often = marked.groupBy("_row_a", "_row_b").agg(F.count("*").alias("_rows"))
     return apply_copies(docs, first.join(often, ["_row_a", "_row_b"]).withColumn("_copies", F.lit(1)))
+
+
+# --- groups by similarity of the shingles ------------------------------------------------------------------------
+
+ALIKE_SHINGLE = 5
+ALIKE = 0.8
+#: The order of hashes: those in OFTEN or more documents of a sample come last, MOST_FREQUENT at most. It bears on cost alone.
+SAMPLE_DOCS, SAMPLE_SHARE, OFTEN, MOST_FREQUENT = 4_000, 1 / 32, 4, 1_000_000
+#: In hashes of more sets than this, one set is compared with all others before all pairs are formed.
+MANY_SETS = 16
+
+
+def hash_set(found: list[bytes]) -> np.ndarray:
+    """The different hashes of shingles, ascending."""
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in found]), ">i8").astype(np.int64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _prefix(hashes: np.ndarray, frequent: np.ndarray, least: float) -> np.ndarray:
+    """The hashes of which a set at least that similar has one in its own prefix; those in `frequent` come last."""
+    if len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
+        hashes = np.concatenate([hashes[~late], hashes[late]])
+    return hashes[:len(hashes) - ceil(least * len(hashes) - 1e-9) + 1]
+
+
+def _frequent(known: DataFrame, size: int) -> np.ndarray:
+    """Hashes that are frequent among the shingles of a sample of the rows, ascending."""
+    share = max(SAMPLE_SHARE, min(1.0, SAMPLE_DOCS / max(known.count(), 1)))
+    some = known.where(F.pmod("_row_a", F.lit(1 << 20)) < int(share * (1 << 20))).select("_text")
+    udf = text_udf(lambda texts: [hash_set(shingles(t, size)) for t in texts], "array<long>", pa.list_(pa.int64()))
+    often = (some.select(F.explode(udf("_text")).alias("_hash")).groupBy("_hash").count().where(F.col("count") >= OFTEN)
+             .orderBy(F.desc("count"), "_hash").limit(MOST_FREQUENT))
+    return np.sort(np.array([r["_hash"] for r in often.select("_hash").toLocalIterator()], np.int64))
+
+
+def _sets(known: DataFrame, size: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Every row with its set's key `_k`, size, fingerprint and prefix; and of each different set one of its rows."""
+    sent = known.sparkSession.sparkContext.broadcast(_frequent(known, size))
+
+    def mark(texts: list[bytes]) -> list[dict]:
+        out = []
+        for text in texts:
+            found = shingles(text, size)
+            hashes = hash_set(found)
+            out.append({"k": int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).astype(np.int64)), "n": len(hashes),
+                        "fp": int(np.uint64(_vote(found)).astype(np.int64)), "low": _prefix(hashes, sent.value, least)})
+        return out
+
+    kind = pa.struct([("k", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("low", pa.list_(pa.int64()))])
+    udf = text_udf(mark, "struct<k:long,n:long,fp:long,low:array<long>>", kind)
+    marked = staged(known.withColumn("_set", udf("_text")).select(
+        "_id", "_row_a", "_row_b", F.col("_set.k").alias("_k"), F.col("_set.n").alias("_n"), F.col("_set.fp").alias("_fp"),
+        F.col("_set.low").alias("_low")), "marked")
+    sets = staged(marked.groupBy("_k").agg(F.min(F.struct("_row_a", "_row_b")).alias("_row"), F.min("_fp").alias("_fp"),
+                                           F.count("*").alias("_rows")), "sets")
+    return marked, sets
+
+
+def alike_links(known: DataFrame, marked: DataFrame, sets: DataFrame, size: int, least: float) -> DataFrame:
+    """Links (u, v) between keys of sets that span all components of sets with a similarity of `least` or more."""
+    def compare(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for at in range(len(a)):
+            x, y = (hash_set(shingles(t[at].as_py() or b"", size)) for t in (a, b))
+            out.append(jaccard(x, y) >= least - 1e-9)
+        return pa.array(out, pa.bool_())
+
+    compare.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
+    alike = F.arrow_udf(compare, "boolean").asNondeterministic()
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = staged(pairs.distinct(), "alike-pairs")
+        some = staged(pairs.select(F.explode(F.array("u", "v")).alias("_k")).distinct().join(sets, "_k").select(
+            "_k", "_row._row_a", "_row._row_b"), "alike-keys")
+        held = staged(known.join(small_or_not(some), ["_row_a", "_row_b"]).dropDuplicates(["_k"]).select(
+            "_k", F.col("_text").cast("binary").alias("_text")), "alike-texts")
+        return staged(pairs.join(held.withColumnsRenamed({"_k": "u", "_text": "_x"}), "u")
+                      .join(held.withColumnsRenamed({"_k": "v", "_text": "_y"}), "v")
+                      .select("u", "v", alike("_x", "_y").alias("_ok")).where("_ok").select("u", "v"), "alike-links")
+
+    # near fingerprints: they bind large groups of near copies with one link a set
+    near = sets.groupBy("_fp").agg(F.min("_k").alias("_least"))
+    same = sets.join(near, "_fp").where("_k != _least").select(F.col("_k").alias("u"), F.col("_least").alias("v"))
+    apart = (links(near.select("_fp"), BUDGET).join(near.select(F.col("_fp").alias("u"), F.col("_least").alias("_u")), "u")
+             .join(near.select(F.col("_fp").alias("v"), F.col("_least").alias("_v")), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v")))
+
+    # one row of each set; size and position share a long
+    copied = sets.where("_rows > 1").select("_k", "_row")
+    single = (marked.join(small_or_not(copied), "_k", "left").where("_row is null or (_row._row_a = _row_a and _row._row_b = _row_b)"))
+    place = F.shiftleft("_n", 32).bitwiseOR(F.col("_at").cast("long"))
+    every = single.select("_k", "_n", F.posexplode("_low").alias("_at", "_hash")).select("_hash", "_k", place.alias("_place"))
+    shared = every.groupBy("_hash").agg(F.min("_k").alias("_a"), F.max("_k").alias("_b")).where("_a != _b").select("_hash")
+    cells = staged(every.join(shared, "_hash").distinct().select(
+        "_hash", "_k", F.shiftright("_place", 32).alias("_n"), F.col("_place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("_at")), "alike-cells")
+    fits = f"least(_n, _m) >= {least} * greatest(_n, _m) - 1e-9"
+    overlap = f"{least / (1 + least)} * (_n + _m) - 1e-6"
+
+    pivot = F.min(F.struct(F.xxhash64("_k").alias("by"), "_k", "_n", "_at")).alias("_p")
+    large = cells.groupBy("_hash").agg(F.count("*").alias("_sets"), pivot).where(F.col("_sets") > MANY_SETS)
+    star = (cells.join(large.select("_hash", F.col("_p._k").alias("v"), F.col("_p._n").alias("_m"), F.col("_p._at").alias("_to")), "_hash")
+            .where("_k != v").where(fits).where(f"least(_n - _at, _m - _to) >= {overlap}").select(F.col("_k").alias("u"), "v"))
+    found = confirmed(same.unionByName(apart).unionByName(star))
+
+    # the rest: hashes whose sets are not all linked yet
+    label = component_of(found).withColumnsRenamed({"node": "_k"})
+    placed = staged(cells.join(label, "_k", "left").withColumn("_c", F.coalesce("root", "_k")).drop("root"), "alike-placed")
+    mixed = placed.groupBy("_hash").agg(F.min("_c").alias("_ca"), F.max("_c").alias("_cb")).where("_ca != _cb").select("_hash")
+    open_ = staged(placed.join(mixed, "_hash"), "alike-open")
+    other = open_.withColumnsRenamed({"_k": "v", "_n": "_m", "_c": "_d", "_at": "_to"})
+    # what the prefixes share and what is left behind the last hash they share must hold the overlap
+    pairs = (open_.join(other, "_hash").where("_k < v and _c != _d").where(fits)
+             .groupBy(F.col("_k").alias("u"), "v", "_n", "_m").agg(F.count("*").alias("_both"), F.max("_at").alias("_at"), F.max("_to").alias("_to"))
+             .where(f"_both + least(_n - _at, _m - _to) - 1 >= {overlap}").select("u", "v"))
+    return found.unionByName(confirmed(pairs))
+
+
+def keep_one_alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = ALIKE_SHINGLE,
+                   least: float = ALIKE) -> DataFrame:
+    """One document of each group linked by a shingle similarity of `least` or more, columns unchanged: the one with the
+    smallest id (null last, then by content). Texts without words are one group."""
+    known = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *identity_columns(docs))
+    marked, sets = _sets(known, size, least)
+    label = component_of(alike_links(known, marked, sets, size, least)).withColumnsRenamed({"node": "_k"})
+    marked = marked.drop("_low")
+    grouped = marked.join(label, "_k", "left").withColumn("_group", F.coalesce("root", "_k"))
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "_row_a", "_row_b")
+    first = grouped.groupBy("_group").agg(F.min(order).alias("first")).select("first._row_a", "first._row_b")
+    often = marked.groupBy("_row_a", "_row_b").agg(F.count("*").alias("_rows"))
+    return apply_copies(docs, first.join(often, ["_row_a", "_row_b"]).withColumn("_copies", F.lit(1)))

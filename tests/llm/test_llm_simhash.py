@@ -2,10 +2,10 @@ import random
 
 import numpy as np
 import xxhash
-from llm_data import docs, no_docs
+from llm_data import docs, no_docs, prose
 
 from foldstream.llm.components import component_of
-from foldstream.llm.simhash import fingerprint, keep_one, links, near_duplicates, trie_links
+from foldstream.llm.simhash import fingerprint, keep_one, keep_one_alike, links, near_duplicates, trie_links
 
 
 def plain_fingerprint(text):
@@ -85,3 +85,43 @@ def test_awkward_rows(spark):
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(1) == 1 and 2 not in ids and 3 in ids and 4 not in ids and 8 in ids
     assert near_duplicates(no_docs(spark)).count() == 0 and keep_one(no_docs(spark)).count() == 0
+
+
+def test_near_copies_of_known_similarity(spark):
+    """Against all pairs, with copies on both sides of 0.8, a large group of near copies, and one that hangs on a chain."""
+    def grams(text):
+        w = text.lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+    texts, rng = [], random.Random(4)
+    for base in range(12):
+        words = prose(120, 900 + base).split()
+        texts.append(" ".join(words))
+        for changes in (1, 2, 3, 4):
+            texts.append(" ".join("zz%d" % rng.randrange(10**6) if i in rng.sample(range(120), changes) else w for i, w in enumerate(words)))
+            other = list(words)
+            for i in rng.sample(range(120), changes):
+                other[i] = "yy%d" % rng.randrange(10**6)
+            texts.append(" ".join(other))
+    hot = prose(150, 77).split()
+    for i in range(90):
+        texts.append(" ".join([*hot[:i], "qq%d" % i, *hot[i + 1:]]))
+    texts += [texts[0], texts[5], "", "too few words"]
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    near = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                near += bin(fingerprint(texts[i].encode()) ^ fingerprint(texts[j].encode())).count("1") > 2
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = sorted({find(i) for i in range(len(texts))})
+    assert near > 20 and sorted(r["doc_id"] for r in keep_one_alike(df).collect()) == expected
+    assert keep_one_alike(no_docs(spark)).count() == 0 and keep_one_alike(docs(spark)).columns == docs(spark).columns
