@@ -3,7 +3,8 @@
 A gear hash rolls over the bytes of a text; a chunk ends where its top bits are zero, so boundaries depend on the last
 32 bytes alone and come back at the same places of a passage wherever it stands and whatever was inserted before it.
 Chunks are compared by 128-bit digests. A digest seen in documents with different ids is a repeat; runs of adjacent
-repeated chunks that are long enough are repeated passages. The first document (least id) keeps its passages.
+repeated chunks that are long enough are repeated passages. Of every chunk the first document (least id) keeps it: a run
+that holds chunks first seen here and others is split between them, so each chunk stays somewhere.
 
 How often a digest occurs is an aggregate, combined before the shuffle, so a chunk that stands in a third of all
 documents costs its partition no more than any other; the digests found are joined back to the chunks.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -137,13 +139,15 @@ _PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("f
 
 
 def _runs(hits: list[dict], rules: ChunkRules) -> list[dict]:
-    """Runs of adjacent repeated chunks that are long enough; the document keeps a run if all its chunks were first here."""
+    """Runs of adjacent repeated chunks that are long enough, split where chunks that were first here meet others."""
     out, run = [], []
     for hit in [*hits, None]:
         if run and (hit is None or hit["_start"] != run[-1]["_stop"]):
             start, stop = run[0]["_start"], run[-1]["_stop"]
             if stop - start >= rules.run_bytes and len(run) >= rules.run_chunks:
-                out.append({"start": start, "stop": stop, "first": all(x["_own"] for x in run)})
+                for own, part in groupby(run, key=lambda x: x["_own"]):
+                    held = list(part)
+                    out.append({"start": held[0]["_start"], "stop": held[-1]["_stop"], "first": own})
             run = []
         if hit is not None:
             run.append(hit)
@@ -169,9 +173,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             kept, at = [], 0
             for span in spans or []:
                 if not span["first"]:
-                    kept.append(text[at:span["start"]])
-                    at = span["stop"]
-            # a chunk may end inside a character: what is left of it goes
+                    start, stop = span["start"], span["stop"]
+                    # a chunk may end inside a character, which then stays whole beside the cut
+                    while start < stop and text[start] & 0xC0 == 0x80:
+                        start += 1
+                    while start < stop < len(text) and text[stop] & 0xC0 == 0x80:
+                        stop -= 1
+                    kept.append(text[at:start])
+                    at = stop
             out.append(None if text is None else text.decode() if not at else b"".join([*kept, text[at:]]).decode("utf-8", "ignore"))
         return pa.array(out, pa.string())
 

@@ -54,6 +54,23 @@ def test_all_long_shared_passages_are_found(spark):
     assert len(long_ - flagged) <= 0.01 * len(long_) and flagged <= short
 
 
+def test_every_chunk_keeps_a_holder(spark):
+    """Document 2 joins a passage of document 1 with one that only later documents have: it keeps the second one."""
+    a, b = prose(60, 901), prose(60, 902)
+    rows = [(1, a + " " + prose(30, 1)), (2, prose(30, 2) + " " + a + " " + b + " " + prose(30, 3)), (3, prose(30, 4) + " " + a + " " + b),
+            (4, prose(30, 5) + " é" + b + "é " + prose(30, 6))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cleaned = {r["doc_id"]: r["text"].encode() for r in without_repeats(df).collect()}
+    left = b"\n".join(cleaned.values())
+    for _, text in rows:
+        data = text.encode()
+        ends = cut(data)
+        assert all(data[x:y] in left for x, y in zip(ends, ends[1:]))
+    assert a.encode() in cleaned[1] and b.encode()[70:-70] in cleaned[2] and b.encode()[70:-70] not in cleaned[3] + cleaned[4]
+    firsts = [p["first"] for p in {r["doc_id"]: r["_passages"] for r in with_repeats(df).collect()}[2]]
+    assert firsts == [False, True]
+
+
 def test_awkward_rows(spark):
     got = {r["doc_id"]: r["_passages"] for r in with_repeats(docs(spark)).collect()}
     assert len(got[1]) == 1 and got[1][0]["first"] and not got[2][0]["first"]
