@@ -286,10 +286,12 @@ def train(docs: DataFrame, how: Training = Training(), text_col: str = "text", l
     """Fit on a bounded sample of the labelled documents: for each language those with the least hash of their text."""
     labelled = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where(
         "lang is not null and text is not null")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("_n"))  # one row per language
+    labelled = labelled.withColumn("_hash", F.xxhash64("text"))
+    # different texts of each language: one row per language
+    counts = labelled.select("lang", "_hash").distinct().groupBy("lang").agg(F.count("*").alias("_n"))
     # about twice as many as are wanted of each language, without copies, then exactly as many
     share = 2.0 * how.per_language / F.col("_n")
-    near = (labelled.withColumn("_hash", F.xxhash64("text")).join(small_or_not(counts), "lang")
+    near = (labelled.join(small_or_not(counts), "lang")
             .where(F.pmod(F.col("_hash"), F.lit(1 << 24)) < share * (1 << 24)).dropDuplicates(["lang", "_hash"]))
     first = W.partitionBy("lang").orderBy(F.pmod(F.col("_hash"), F.lit(1 << 24)), "_hash")
     kept = near.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= how.per_language)

@@ -74,6 +74,19 @@ def test_awkward_rows(spark):
     assert {r["_lang"]["lang"] for r in language.identify(docs(spark), empty).collect()} == {"und"}
 
 
+def test_language_that_is_mostly_copies(spark, monkeypatch):
+    """All different texts are used, or as many as are wanted, however often each is repeated."""
+    from pyspark.sql import functions as F
+
+    many = spark.range(20_000).select(F.concat(F.lit("the cat "), F.col("id") % 30).alias("text"), F.lit("en").alias("lang"))
+    half = spark.range(4_000).select(F.concat(F.lit("der hund "), F.when(F.col("id") < 3_000, 0).otherwise(F.col("id"))).alias("text"),
+                                     F.lit("de").alias("lang"))
+    used = []
+    monkeypatch.setattr(language, "fit", lambda texts, langs, how: used.extend(zip(langs, texts, strict=True)))
+    language.train(many.unionByName(half), language.Training(per_language=40))
+    assert len(set(used)) == len(used) and [sum(lang == x for x, _ in used) for lang in ("en", "de")] == [30, 40]
+
+
 def test_held_out_accuracy(spark):
     from foldstream.llm.queries import op4_language
 
