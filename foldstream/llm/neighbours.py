@@ -17,7 +17,7 @@ candidates than asked for give fewer rows. Other columns play no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import ceil
 
 import numpy as np
@@ -35,7 +35,9 @@ class Lists:
     sample_rows / 8. replicas, boundary: most lists of a vector, and the distance ratio up to which it is copied.
     probes, ratio, sure: most lists of a query, the distance ratio up to which they are visited, and how many are visited whatever
     their distance (a query amid its copies is very near to one list). degree, beam: neighbours of a centroid in the graph, and
-    candidates that a search keeps. part_rows: vectors of a cell; query_rows: queries scored at once.
+    candidates that a search keeps. part_rows: vectors of a cell; visit_rows: queries of a cell, about; query_rows: queries scored
+    at once. fit_queries, wanted: with more lists than `probes`, so many queries are compared with all vectors, and probes is
+    raised to what finds this share of their nearest ones.
     """
 
     sample_rows: int = 32_768
@@ -48,7 +50,10 @@ class Lists:
     degree: int = 24
     beam: int = 96
     part_rows: int = 20_000
+    visit_rows: int = 20_000
     query_rows: int = 512
+    fit_queries: int = 64
+    wanted: float = 0.96
     seed: int = 3
 
 
@@ -145,6 +150,14 @@ class CentroidGraph:
         return np.take_along_axis(ids, order, 1), np.maximum(dist, 0)
 
 
+    def all(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `search`, of all centroids."""
+        x = x.astype(np.float32)
+        d = np.maximum(self.norm - 2 * x @ self.c.T + (x * x).sum(axis=1)[:, None], 0)
+        ids = np.argsort(d, axis=1, kind="stable")
+        return ids, np.take_along_axis(d, ids, 1)
+
+
 def posting(graph: CentroidGraph, x: np.ndarray, how: Lists) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) pairs: the nearest list, and those at nearly its distance."""
     ids, dist = graph.search(x, min(how.beam, 4 * how.replicas))
@@ -155,7 +168,10 @@ def posting(graph: CentroidGraph, x: np.ndarray, how: Lists) -> tuple[np.ndarray
 
 def probing(graph: CentroidGraph, q: np.ndarray, how: Lists) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) pairs: the lists a query visits."""
-    ids, dist = graph.search(q, max(how.beam, how.probes))
+    if how.probes * 8 > len(graph.c):  # a large share of all lists: no search
+        ids, dist = graph.all(q)
+    else:
+        ids, dist = graph.search(q, max(how.beam, how.probes))
     ids, dist = ids[:, :how.probes], dist[:, :how.probes]
     near = dist <= dist[:, :1] * how.ratio**2 + 1e-12
     near[:, :how.sure] = True
@@ -163,6 +179,52 @@ def probing(graph: CentroidGraph, q: np.ndarray, how: Lists) -> tuple[np.ndarray
     return row, ids[row, col]
 
 
+def fitted(graph: CentroidGraph, posted: DataFrame, asked: DataFrame, k: int, longest: float, how: Lists) -> Lists:
+    """`how` with the probes, and if need be without the ratio, that find `wanted` of the k nearest of some queries."""
+    some = asked.orderBy("_a", "_b").limit(how.fit_queries).collect()
+    if len(graph.c) <= how.probes or not some:
+        return how
+    q = np.array([r["_vec"] for r in some])
+    ids, dist = graph.all(_query(q, longest))
+    place = np.argsort(ids, axis=1)  # of each list
+    inside = dist <= dist[:, :1] * how.ratio**2 + 1e-12
+    inside[:, :how.sure] = True
+    keys = {(r["_a"], r["_b"]): i for i, r in enumerate(some)}
+    sent = asked.sparkSession.sparkContext.broadcast((q, place, keys))
+    most = (k + 1) * how.replicas
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, place, keys = sent.value
+        best = [(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))] * len(q)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            scores = q @ _matrix(batch.column("_vec")).T
+            a, b, lists = (batch.column(c).to_numpy() for c in ("_a", "_b", "_list"))
+            for i in range(len(q)):
+                new = (scores[i], a, b.astype(np.int64), place[i, lists])
+                near = np.argpartition(-scores[i], most - 1)[:most] if len(a) > most else np.arange(len(a))
+                held = [np.concatenate([old, x[near]]) for old, x in zip(best[i], new, strict=True)]
+                first = np.argsort(-held[0], kind="stable")[:most]
+                best[i] = tuple(x[first] for x in held)
+        for i, (score, a, b, at) in enumerate(best):
+            other = np.array([keys.get((x, y)) != i for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
+            yield pa.record_batch([pa.array(np.full(int(other.sum()), i, np.int32)), pa.array(a[other]), pa.array(b[other]), pa.array(score[other]),
+                                   pa.array(at[other].astype(np.int32))], names=["_q", "_a", "_b", "_score", "_at"])
+
+    seen = posted.select("_list", "_a", "_b", "_vec").mapInArrow(scan, "_q int, _a long, _b long, _score double, _at int")
+    seen = seen.groupBy("_q", "_a", "_b").agg(F.max("_score").alias("_score"), F.min("_at").alias("_at"))
+    first = W.partitionBy("_q").orderBy(F.desc("_score"), "_a", "_b")
+    rows = seen.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= k).select("_q", "_at").collect()
+    if not rows:
+        return how
+    at = np.array([r["_at"] for r in rows])
+    fine = inside[[r["_q"] for r in rows], at]
+    ratio = how.ratio if fine.mean() >= how.wanted else float("inf")
+    at = np.sort(np.where(fine, at, len(graph.c)) if np.isfinite(ratio) else at)
+    return replace(how, ratio=ratio, probes=max(how.probes, int(at[ceil(how.wanted * len(at)) - 1]) + 1))
+
+
 # --- tables --------------------------------------------------------------------------------------------------------
 
 
@@ -212,14 +274,24 @@ def nearest(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_
     posted = staged(entries.select("_a", "_b", "_vec", "_ids").mapInArrow(
         spread(lambda g, x: posting(g, _level(x, longest), how)), f"{kinds}, _ids array<long>"), "postings")
     asked = entries.join(queries.select("_a", "_b").distinct(), ["_a", "_b"], "left_semi").select("_a", "_b", "_vec")
-    probes = asked.mapInArrow(spread(lambda g, x: probing(g, _query(x, longest), how)), kinds)
-
-    # lists that outgrow a cell are cut into parts, and each of their queries goes to every part
-    parts = F.broadcast(posted.groupBy("_list").agg(F.ceil(F.count("*") / how.part_rows).cast("int").alias("_parts")))  # one row per list
-    cells = posted.join(parts, "_list").withColumn("_part", F.pmod("_a", "_parts").cast("int"))
-    visits = probes.join(parts, "_list").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    found = (visits.select("_list", "_part", "_a", "_b", "_vec").groupBy("_list", "_part")
-             .cogroup(cells.select("_list", "_part", "_vec", "_ids").groupBy("_list", "_part"))
+    fit = fitted(graph, posted, asked, k, longest, how)
+    probes = asked.mapInArrow(spread(lambda g, x: probing(g, _query(x, longest), fit)), kinds)
+
+    # lists that outgrow a cell are cut into parts, their queries into blocks, and each block goes to every part
+    parts = posted.groupBy("_list").agg(F.ceil(F.count("*") / how.part_rows).cast("int").alias("_parts"))  # one row per list
+    if asked.count() > how.visit_rows:
+        often = probes.groupBy("_list").agg(F.ceil(F.count("*") / how.visit_rows).cast("int").alias("_blocks"))
+        parts = parts.join(often, "_list")  # a list without queries goes
+    else:
+        parts = parts.withColumn("_blocks", F.lit(1))
+    parts = F.broadcast(parts)
+    cells = posted.join(parts, "_list").withColumn("_part", F.pmod("_a", "_parts").cast("int")).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    visits = probes.join(parts, "_list").withColumn("_block", F.pmod(F.xxhash64("_a", "_b"), "_blocks").cast("int")).withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    cell = ["_list", "_part", "_block"]
+    found = (visits.select(*cell, "_a", "_b", "_vec").groupBy(*cell)
+             .cogroup(cells.select(*cell, "_vec", "_ids").groupBy(*cell))
              .applyInArrow(_score(k + 1, how.query_rows), "_a long, _b int, _found array<struct<score:double,id:long>>"))
     best = found.groupBy("_a", "_b").agg(F.flatten(F.collect_list("_found")).alias("_found"))  # `probes` times parts, k + 1 each
     result = queries.join(best, ["_a", "_b"])

@@ -49,6 +49,20 @@ def test_recall_and_balance(spark):
     assert (found[:, 0] == exact).mean() > 0.95
 
 
+def test_recall_holds_with_many_lists(spark):
+    """Vectors without clusters and far more lists than the least number of probes, queries of a cell in blocks."""
+    x = np.random.default_rng(2).normal(size=(4000, 24))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = table(nearest(spark.createDataFrame([(i, v, "x") for i, v in rows], SCHEMA), EVERY, 10,
+                        how=Lists(list_rows=16, probes=8, sure=4, visit_rows=50)).collect())
+    close = x.astype(float) @ x.T.astype(float)
+    np.fill_diagonal(close, -9)
+    expected = np.argsort(-close, axis=1)[:, :10]
+    assert len(got) == 800 and all(len(v) == 10 for v in got.values())
+    assert np.mean([len(set(got[i]) & set(expected[i].tolist())) / 10 for i in got]) >= 0.93
+
+
 def test_awkward_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], "a"), (5, [0.0, 2.0], "b"), (6, [1.0, 0.0], None), (7, None, "c"), (8, [], "c"), (9, [0.0, 0.0], "c"),
