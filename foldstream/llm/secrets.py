@@ -37,14 +37,20 @@ class EntropyRules:
     """A candidate is a run of `least` characters or more; `window` its window, at most `least`.
 
     hexadecimal, mixed: bits a character from which a window counts, by the candidate's character class. A candidate
-    of the class `mixed` has digits, small and capital letters; of `hexadecimal`, hexadecimal digits only. All others
-    are ordinary text. allowed: forms that are no secrets however random, as full matches.
+    of the class `mixed` has digits, small and capital letters; of `hexadecimal`, hexadecimal digits only. Of all others the
+    parts of letters and digits that hold a window count: hexadecimal ones as above, `small` with digits and small
+    letters, `capital` with digits and capitals, `letters` with letters of both cases, of which `balance` or more must be of
+    either case (names in camel case have few capitals). What is left is ordinary text. allowed: forms that are no secrets however random, as full matches.
     """
 
     least: int = 24
     window: int = 20
     hexadecimal: float = 2.93
     mixed: float = 3.53
+    small: float = 3.48
+    capital: float = 3.4
+    letters: float = 3.62
+    balance: float = 0.3
     candidate: str = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}"  # tried at the starts of runs only
     allowed: tuple[str, ...] = (
         r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUID
@@ -120,13 +126,28 @@ def _moved(acc: Column, found: Column, i: Column, window: int, weigh, count) ->
     return F.struct(s.alias("s"), F.least(acc["least"], s).alias("least"))
 
 
+def _is_hexadecimal(found: Column) -> Column:
+    return found.rlike(r"\A[0-9a-fA-F]+\z") & found.rlike("[0-9]") & found.rlike("[a-fA-F]")
+
+
+def _random_part(part: Column, rules: EntropyRules) -> Column:
+    """Whether a run of letters and digits reaches the threshold of its class."""
+    digit, small, capital = part.rlike("[0-9]"), part.rlike("[a-z]"), part.rlike("[A-Z]")
+    share = F.length(F.regexp_replace(part, "[^A-Z]", "")) / F.length(part)
+    least = (F.when(_is_hexadecimal(part), F.lit(rules.hexadecimal)).when(digit & small & capital, F.lit(rules.mixed))
+             .when(digit & small, F.lit(rules.small)).when(digit & capital, F.lit(rules.capital))
+             .when(~digit & share.between(rules.balance, 1 - rules.balance), F.lit(rules.letters)))
+    return F.coalesce(F.when(least.isNotNull(), _best_entropy(part, rules.window) >= least), F.lit(False))
+
+
 def _random(found: Column, rules: EntropyRules) -> Column:
-    """Whether a candidate's best window reaches the threshold of its class and no allowed form fits."""
-    hexadecimal = found.rlike(r"\A[0-9a-fA-F]+\z") & found.rlike("[0-9]") & found.rlike("[a-fA-F]")
+    """Whether a candidate's best window, or that of a part, reaches the threshold of its class and no allowed form fits."""
     mixed = found.rlike("[0-9]") & found.rlike("[a-z]") & found.rlike("[A-Z]")
-    least = F.when(hexadecimal, F.lit(rules.hexadecimal)).when(mixed, F.lit(rules.mixed))
+    least = F.when(_is_hexadecimal(found), F.lit(rules.hexadecimal)).when(mixed, F.lit(rules.mixed))
     allowed = found.rlike(r"\A(?:" + "|".join(f"(?:{a})" for a in rules.allowed) + r")\z")
-    return F.coalesce(F.when(least.isNotNull() & ~allowed, _best_entropy(found, rules.window) >= least), F.lit(False))
+    parts = F.regexp_extract_all(found, F.lit(f"[A-Za-z0-9]{{{rules.window},}}"), F.lit(0))
+    return (F.when(allowed, F.lit(False)).when(least.isNotNull(), _best_entropy(found, rules.window) >= least)
+            .otherwise(F.exists(parts, lambda part: _random_part(part, rules))))
 
 
 def _span_of(kind: int):

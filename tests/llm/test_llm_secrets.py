@@ -63,6 +63,16 @@ def test_entropy(spans):
     assert any(s["kind"] == 3 for s in spans[4]) and not any(s["kind"] == 3 for s in spans[5])
 
 
+def test_random_tokens_of_every_class(spark):
+    tokens = ["k3v9q0zt7m1xw8b2nd5hj4ra6p", "Q7ZK2M5XB3TV6NWPR4HJ2DFYGA", "9f86d081884c7d659a2feaa0c55a-us1", "qRvKzBnWxTmLpJhGsYdFcZaQeU"]
+    slugs = ["how-to-build-a-small-house-in-2024", "MAX_RETRY_COUNT_OF_REQUEST_2048", "getElementsByClassNameFromDocument",
+             "supercalifragilisticexpialidocious", "release-notes-for-version-12-and-13", "INTERNATIONALIZATIONANDLOCALIZATION"]
+    rows = [(i, f"see {x} here") for i, x in enumerate(tokens + slugs)]
+    found = {r["doc_id"]: r["text"] for r in redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i] for i, _ in rows[:4]] == ["see <SECRET> here"] * 4
+    assert all(found[i] == text for i, text in rows[4:])
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     spans_of = {r["doc_id"]: [tuple(s) for s in r["_spans"]] for r in scan(df).collect()}
