@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from foldstream.llm.common import small_or_not, text_udf
 
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: A longer run of letters, as in scripts without spaces, counts as several words of at most so many letters.
+MOST_LETTERS = 40
+_LETTERS = re.compile(rf"[^\W\d_]{{1,{MOST_LETTERS}}}")
 #: Words of a block; a document is a row of blocks.
 BLOCK = 64
 #: Distinct words whose scores a worker remembers.
@@ -77,7 +79,7 @@ class Buckets(dict):
 
 def features(word: str, buckets: Buckets, lexicons: list[frozenset[str]]) -> list[int]:
     """Buckets of a word, its affixes and n-grams; lexicon features come behind the buckets."""
-    marked = f"<{word[:40]}>"
+    marked = f"<{word}>"
     n = len(marked)
     parts = [f"p{word[:2]}", f"p{word[:3]}", f"p{word[:4]}", f"s{word[-2:]}", f"s{word[-3:]}", f"s{word[-4:]}"]
     parts += [marked[i:i + 2] for i in range(n - 1)]

@@ -62,6 +62,13 @@ def test_words_of_switched_text():
     assert labels[5] == "en" and labels[n + 5] == "de"
 
 
+def test_long_runs_of_letters_count_whole():
+    run = "".join(chr(0x4E00 + i) for i in range(130))
+    assert "".join(language.words(run)) == run and max(map(len, language.words(run))) == 40
+    field = language.fit(["abab " * 30, "xyxy " * 30] * 4, ["a", "x"] * 4, language.Training(rounds=30, buckets=1 << 10))
+    assert field.label(["ab" * 20 + "xy" * 200], language.Memory(2))[0][0] == "x"
+
+
 def test_awkward_rows(spark):
     small = language.Training(per_language=3, rounds=5, buckets=1 << 10)
     field = language.train(docs(spark), small)
