@@ -3,8 +3,10 @@
 Words of many documents are numbered together and sorted by prefix doubling in numpy: after the round
 for length k, two positions share a rank if and only if their next k words agree. The document number
 leads the first rank, so positions of different documents never meet. Adjacent suffixes give the
-longest common prefixes; an interval of them whose occurrences have different words in front is a
-maximal repeated substring. The union of the occurrences and the longest repeat decide the verdict.
+longest common prefixes. The verdict takes, at each position, the larger common prefix with either neighbour;
+the union of these spans and the longest of them decide. That is the union of the occurrences of all maximal repeated
+substrings, the intervals of common prefixes whose occurrences have different words in front:
+`maximal_repeats` walks them, as a reference for tests; the verdict does not come from that walk.
 
 Defined results: a null or empty text, and one without words, has zero in every count and fails the base
 rule (fewer than MIN_WORDS words). Repeated rows are judged one by one; each document is judged alone, so

@@ -1,11 +1,12 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from llm_data import docs, no_docs, prose, rows
 
 from foldstream.llm import quality
-from foldstream.llm.quality import RepeatRules, SuffixArray, keep_good, measure
+from foldstream.llm.quality import RepeatRules, SuffixArray, covered, keep_good, measure
 
 
 def plain(words, least):
@@ -96,3 +97,18 @@ def test_awkward_rows(spark):
 def test_short_repeats_are_refused():
     with pytest.raises(ValueError):
         measure([b"x"], RepeatRules(min_repeat=2))
+
+
+def test_neighbour_prefixes_cover_what_the_maximal_repeats_do():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        part = rng.integers(0, 50, 25)
+        words = np.concatenate([x for _ in range(6) for x in (part[rng.integers(0, 9):], rng.integers(0, 50, rng.integers(0, 9)))]).astype(np.int64)
+        array = SuffixArray(words, np.zeros(len(words), np.int64))
+        longest = array.longest_here()
+        starts = np.nonzero(longest >= 8)[0]
+        found = array.maximal_repeats(8)
+        spans = [(at, length) for length, places in found for at in places]
+        by_walk = covered(len(words), np.array([a for a, _ in spans], int), np.array([n for _, n in spans], int))
+        assert np.array_equal(covered(len(words), starts, longest[starts]), by_walk)
+        assert longest.max(initial=0) == max((n for n, _ in found), default=0)
