@@ -16,7 +16,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def rows(df):
-    return sorted(tuple(r) for r in df.collect())

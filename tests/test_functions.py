@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import rows
+from table_rows import rows
 from pyspark.sql import functions as F
 
 from foldstream.functions import metrics as m

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from table_rows import rows
 
 from foldstream.sources import sinks, text
 

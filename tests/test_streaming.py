@@ -2,7 +2,7 @@ import random
 import time
 
 import pytest
-from conftest import rows
+from table_rows import rows
 from pyspark.sql import functions as F
 from test_operators import MESSAGE, close, init, make_messages, replay, replay_sync, start
 
