@@ -36,4 +36,12 @@ FROM w""",
   string_agg(w, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(w, ',' ORDER BY start, kind) AS spans FROM kept GROUP BY row)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN sums USING (row)""",
+    "op13_lines": r"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+ every AS (SELECT row, doc_id, unnest(range(1, len(lines) + 1)) AS pos, unnest(lines) AS line FROM d),
+ keyed AS (SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+   concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS key FROM every),
+ frequent AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT coalesce(doc_id::VARCHAR, 'none')) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+ sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.key IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN frequent f USING (key) GROUP BY row""",
 }

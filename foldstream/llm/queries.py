@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldstream.llm import bpe, chunking, language, mixing, neighbours, quality, scoring, secrets, simhash, warc
+from foldstream.llm import bpe, chunking, language, lines, mixing, neighbours, quality, scoring, secrets, simhash, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -91,6 +91,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.with_bitmaps(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", lines.line_count("_keep").alias("n_lines"), lines.dropped_count("_keep").alias("n_dropped"),
+                        F.sha2(lines.kept_text(F.col("text"), F.col("_keep")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
@@ -102,4 +108,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_chunking": op9_chunking,
     "op10_warc": op10_warc,
+    "op13_lines": op13_lines,
 }
