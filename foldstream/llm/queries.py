@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldstream.llm import bpe, chunking, language, lines, mixing, neighbours, quality, scoring, secrets, simhash, warc
+from foldstream.llm import bpe, chunking, language, lines, mixing, neighbours, periods, quality, scoring, secrets, simhash, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -91,6 +91,29 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth document (by its id's crc32) becomes periodic from some word on; its words are joined by one space."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    planted = F.coalesce(h % 10 == 0, F.lit(False))
+    words = F.when(planted, periods.words_of(F.col("text")))
+    known = docs.select("doc_id", "text", words.alias("_words"), F.floor(h / 10).alias("_g"))
+    n, g = F.size("_words"), F.col("_g")
+    known = known.withColumn("_a", F.when(n > 0, g % n).cast("int"))
+    known = known.withColumn("_p", F.lit(1) + F.floor((n - F.col("_a")) / (F.lit(3) + g % 8)).cast("int"))
+    changed = F.array_join(periods.periodic_from(F.col("_words"), F.col("_a"), F.col("_p")), " ")
+    return known.select("doc_id", F.when(n > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.with_runs(_with_planted_periods(table(spark, sf_dir, "documents"))).drop("text")
+    found = found.withColumn("_best", periods.longest("_periods.runs"))
+    written = F.array_join(F.transform("_periods.runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    ended = F.when(F.size("_periods.runs") > 0, F.concat(written, F.lit("\n"))).otherwise(F.lit(""))
+    exponent = F.floor(F.lit(1000) * F.col("_best.length") / F.col("_best.period")).cast("long")
+    return found.select("doc_id", F.size("_periods.runs").cast("long").alias("n_runs"), "_best.*", exponent.alias("exponent_milli"),
+                        F.sha2(ended, 256).alias("runs_sha256"), F.sha2("_periods.collapsed", 256).alias("collapsed_sha256"))
+
+
 def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.with_bitmaps(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", lines.line_count("_keep").alias("n_lines"), lines.dropped_count("_keep").alias("n_dropped"),
@@ -108,5 +131,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_chunking": op9_chunking,
     "op10_warc": op10_warc,
+    "op11_periods": op11_periods,
     "op13_lines": op13_lines,
 }
