@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldstream.llm import bpe, chunking, language, lines, mixing, neighbours, periods, quality, scoring, secrets, simhash, warc
+from foldstream.llm import alignment, bpe, chunking, language, lines, mixing, neighbours, periods, quality, scoring, secrets, simhash, warc
+from foldstream.llm.common import staged
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+ALIGNED_A, ALIGNED_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,6 +116,16 @@ def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(ended, 256).alias("runs_sha256"), F.sha2("_periods.collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    a_path, b_path = a_path or public_tokenizers.path(ALIGNED_A), b_path or public_tokenizers.path(ALIGNED_B)
+    found = alignment.align(table(spark, sf_dir, "documents"), a_path, b_path)
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    # stored once with a number for each row; the digest is all that is needed of the groups
+    held = staged(found.withColumn("groups_sha256", digest).drop("groups").withColumn("_row", F.monotonically_increasing_id()), "aligned")
+    words = staged(alignment.lexicon(held, alignment.pair_size(b_path)), "lexicon")
+    return alignment.scored(held, words).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.with_bitmaps(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", lines.line_count("_keep").alias("n_lines"), lines.dropped_count("_keep").alias("n_dropped"),
@@ -132,5 +144,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chunking": op9_chunking,
     "op10_warc": op10_warc,
     "op11_periods": op11_periods,
+    "op12_alignment": op12_alignment,
     "op13_lines": op13_lines,
 }
