@@ -26,16 +26,17 @@ def _checked(vec: Column, dim: int) -> Column:
     return F.when(vec.isNull() | (F.size(vec) == dim), vec).otherwise(F.raise_error(wrong).cast("array<double>"))
 
 
-def vector_sum(df: DataFrame, key: str, dim: int, vec: str = "vec") -> DataFrame:
-    """Element-wise sum per key, as (id, vec).
+def vector_sum(df: DataFrame, key: str, dim: int, vec: str = "vec", carry: str | None = None) -> DataFrame:
+    """Element-wise sum per key, as (id, vec), with the one value of a column `carry` that is not null.
 
     One sum per component keeps one row per vector and lets the partial aggregate shrink a hot key
     before the shuffle.
     """
-    checked = df.select(F.col(key).alias("id"), _checked(F.col(vec), dim).alias("v"))
+    more = [carry] if carry else []
+    checked = df.select(F.col(key).alias("id"), _checked(F.col(vec), dim).alias("v"), *more)
     sums = [F.sum(F.get("v", F.lit(i))).alias(f"s{i}") for i in range(dim)]
     packed = F.array(*(F.col(f"s{i}") for i in range(dim)))
-    return checked.groupBy("id").agg(*sums).select("id", no_nan(packed).alias("vec"))
+    return checked.groupBy("id").agg(*sums, *(F.max(c).alias(c) for c in more)).select("id", no_nan(packed).alias("vec"), *more)
 
 
 def vector_sum_any(df: DataFrame, key: str, vec: str = "vec") -> DataFrame:

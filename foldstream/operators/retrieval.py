@@ -186,7 +186,7 @@ def _in_cells(visits: DataFrame, items: DataFrame, n_users: int, n_parts: int, k
         F.collect_list(F.struct("item_id", "vec")).alias("entries"))
     right = packed.select("part", "entries", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     # a count given here is kept by adaptive execution: cells are few but each is much work
-    n = min(2 * cells, 200_000)
+    n = 2 * cells
     key = ["chunk", "part"]
     return (left.repartition(n, *key).groupBy(*key)
             .cogroup(right.repartition(n, *key).groupBy(*key))
@@ -215,10 +215,13 @@ def _merge(picked: DataFrame, k: int, n_parts: int) -> DataFrame:
     return ranked(picked.drop("part", "rank"), k, ["user_id"])
 
 
-def topk(users: DataFrame, items: DataFrame, k: int, part_items: int = PART_ITEMS) -> DataFrame:
-    """(user_id, item_id, score, rank): each user's k best of all items. Users must be distinct."""
-    parted, n_parts = _hashed_parts(items, items.count(), part_items)
-    picked = _in_cells(_visit_all(users, n_parts), parted, users.count(), n_parts, _score_all(k), _PICKED)
+def topk(users: DataFrame, items: DataFrame, k: int, part_items: int = PART_ITEMS, n_users: int | None = None,
+         n_items: int | None = None) -> DataFrame:
+    """(user_id, item_id, score, rank): each user's k best of all items. Users must be distinct. Counts that are known
+    already need not be taken again."""
+    n_users = users.count() if n_users is None else n_users
+    parted, n_parts = _hashed_parts(items, items.count() if n_items is None else n_items, part_items)
+    picked = _in_cells(_visit_all(users, n_parts), parted, n_users, n_parts, _score_all(k), _PICKED)
     return _merge(picked, k, n_parts)
 
 

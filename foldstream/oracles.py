@@ -146,23 +146,50 @@ SMALL_USERS = f"u0 AS MATERIALIZED (SELECT id, {vec('id', 10, -0.001, 0.001, 1)}
 SMALL_ITEMS = f"i0 AS MATERIALIZED (SELECT id, {vec('id', 10, -0.001, 0.001, 2)} AS vec FROM (SELECT DISTINCT item_id AS id FROM req))"
 
 
-def prequential(slots: range = range(0, 5), seconds: int = 86_400_000) -> str:
-    """CTE res (eval_id, ndcg, ts): each slot evaluated with the vectors of the slots before it."""
-    first = 9  # 1995-01-01 is in slot 9 of this length
-    ctes = [REQUESTS.replace("req AS (", "req AS MATERIALIZED ("), SMALL_USERS, SMALL_ITEMS]
-    for s in slots:
-        ctes.append(f"r{s} AS (SELECT * FROM req WHERE ts // {seconds} = {first + s})")
+YEAR = 365 * 86_400
+
+
+def prequential(seconds: int, k: int = 100, requests: str = REQUESTS, growing: bool = False) -> str:
+    """CTE res (eval_id, ndcg, ts): each slot evaluated with the vectors of the slots before it.
+
+    Slots run from 1995-01-01 to 2001-08-01. With `growing` an item is known, and has a place, from the first slot that asks for it.
+    """
+    first, last = 788_918_400 // seconds, 996_624_000 // seconds
+    ctes = [requests.replace("req AS (", "req AS MATERIALIZED ("), SMALL_USERS]
+    if growing:
+        ctes += [SMALL_ITEMS.replace("i0 AS", "all0 AS"),
+                 f"born AS MATERIALIZED (SELECT item_id AS id, min(ts // {seconds}) AS slot FROM req GROUP BY 1)",
+                 "i0 AS MATERIALIZED (SELECT id, vec, NULL::BIGINT AS idx FROM all0 WHERE false)"]
+    else:
+        ctes.append(SMALL_ITEMS)
+    for s in range(last - first + 1):
+        ctes.append(f"r{s} AS MATERIALIZED (SELECT * FROM req WHERE ts // {seconds} = {first + s})")
         scored = (f"(SELECT u.id AS user_id, i.id AS item_id, round(list_dot_product(u.vec, i.vec), 9) + 0.0 AS score "
                   f"FROM (SELECT * FROM u{s} WHERE id IN (SELECT user_id FROM r{s})) u, i{s} i)")
-        ctes.append(f"top{s} AS ({best(scored, 10)})")
-        ctes.append(f"res{s} AS (SELECT eval_id, CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 / (log2(rank) + 1) END AS ndcg, ts "
+        ctes.append(f"top{s} AS ({best(scored, k)})")
+        ctes.append(f"res{s} AS MATERIALIZED (SELECT eval_id, CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 / (log2(rank) + 1) END AS ndcg, ts "
                     f"FROM r{s} LEFT JOIN top{s} USING (user_id, item_id))")
-        if s != slots[-1]:
+        if s == last - first:
+            break
+        if growing:
+            ctes.append(f"""k{s} AS MATERIALIZED (SELECT id, vec, idx FROM i{s} UNION ALL
+  SELECT id, vec, (SELECT count(*) FROM i{s}) + row_number() OVER (ORDER BY id) - 1 FROM all0 JOIN born USING (id) WHERE slot = {first + s})""")
+            made = step(f"r{s}", f"u{s}", f"k{s}", str(s + 1))
+            made = made.replace("row_number() OVER (ORDER BY id) - 1 AS idx, count(*) OVER () AS n", "idx, count(*) OVER () AS n", 1)
+            made = made.replace(f"i{s + 1} AS MATERIALIZED (SELECT id, ", f"i{s + 1} AS MATERIALIZED (SELECT id, a.idx, ")
+            ctes.append(made)
+        else:
             ctes.append(step(f"r{s}", f"u{s}", f"i{s}", str(s + 1)))
-    ctes.append("res AS (" + " UNION ALL ".join(f"SELECT * FROM res{s}" for s in slots) + ")")
+    ctes.append("res AS (" + " UNION ALL ".join(f"SELECT * FROM res{s}" for s in range(last - first + 1)) + ")")
     return "WITH " + ",\n ".join(ctes)
 
 
+REPORT = "SELECT ts // 86400 AS time_slot, round(avg(ndcg), 6) + 0.0 AS ndcg, count(*) AS n FROM res GROUP BY 1"
+# the job numbers requests by time, user and item, as the file has no more
+JOB_REQUESTS = INTERACTIONS + """, req AS (
+  SELECT row_number() OVER (ORDER BY ts, user_id, item_id) - 1 AS eval_id, user_id, item_id, rating, ts FROM inter)"""
+
+
 ORACLES: dict[str, str] = {
     "interactions_scan": f"WITH {INTERACTIONS} SELECT user_id, item_id, rating, ts FROM inter",
     "interactions_file": f"WITH {INTERACTIONS} SELECT user_id, item_id, rating, ts FROM inter",
@@ -263,8 +290,10 @@ FROM r GROUP BY 1""",
 SELECT eval_id, user_id, j::INTEGER AS j, item_id, rating FROM pair WHERE j > 0""",
     "sgd_step": f"""WITH {REQUESTS.replace('req AS (', 'req AS MATERIALIZED (')}, {SMALL_USERS}, {SMALL_ITEMS}, {step('req', 'u0', 'i0', '1')}
 SELECT *, 'user' AS side FROM ({unpack('u1', 'id', 10)}) UNION ALL SELECT *, 'item' FROM ({unpack('i1', 'id', 10)})""",
-    "prequential": f"{prequential()} SELECT eval_id, round(ndcg, 6) + 0.0 AS ndcg, ts FROM res",
-    "online_train_eval": f"{prequential()} SELECT ts // 86400 AS time_slot, round(avg(ndcg), 6) + 0.0 AS ndcg, count(*) AS n FROM res GROUP BY 1",
+    "prequential": f"{prequential(YEAR)} SELECT eval_id, round(ndcg, 6) + 0.0 AS ndcg, ts FROM res",
+    "prequential_growing": f"{prequential(YEAR, growing=True)} SELECT eval_id, round(ndcg, 6) + 0.0 AS ndcg, ts FROM res",
+    "online_train_eval": f"{prequential(YEAR)} {REPORT}",
+    "job_report": f"{prequential(YEAR, requests=JOB_REQUESTS, growing=True)} {REPORT}",
     "param_loop": f"""WITH e AS (SELECT event_id, user_id, value, floor(epoch(ts))::BIGINT // 604800 AS wk FROM events),
  w AS (SELECT user_id, wk, sum(value) AS s0, count(*)::DOUBLE AS s1 FROM e GROUP BY 1, 2),
  c AS (SELECT user_id, wk, coalesce(sum(s0) OVER o, 0) AS b0, coalesce(sum(s1) OVER o, 0) AS b1 FROM w

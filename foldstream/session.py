@@ -48,6 +48,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, as Spark knows it, and the path there."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(conf), at
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, replaced as a whole."""
+    fs, at = _files(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    fs, at = _files(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder."""
+    fs, at = _files(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()]
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove what this library wrote below its own scratch folder."""
+    fs, at = _files(spark, path)
+    fs.delete(at, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once as Parquet in the shared folder; later steps read what they need of them."""
     path = scratch_path(df.sparkSession, name)

@@ -12,7 +12,7 @@ from foldstream.operators.params import vector_sum
 from foldstream.plans.loop import ParameterLoop, over_slots
 from foldstream.plans.store import ParamTable, read_batches, store_options
 from foldstream.plans.train_eval import FactorConfig, TrainEval, evaluate_fixed, online_train_eval, prequential, run_job
-from foldstream.session import scratch_path
+from foldstream.session import folders_in, scratch_path
 from foldstream.sources.sinks import read_report
 from foldstream.streaming.run import each_batch, run_available
 
@@ -35,9 +35,9 @@ def starts(spark, n, dim, lo, hi, seed):
     return {r["id"]: np.array(r["v"]) for r in df.collect()}
 
 
-def train(batch, users, items, c):
+def train(batch, users, items, c, order=None):
     """One batch by hand: squared error, vectors of the batch start, deltas added up."""
-    ids = sorted(items)
+    ids = order or sorted(items)
     du, di = {}, {}
     for e, u, i, r, _ in batch:
         pairs = [(i, r)]
@@ -217,7 +217,7 @@ def test_streamed_training_equals_slots(spark, requests, tmp_path):
 
 @pytest.mark.parametrize("every", [1, 2, 3, 100])
 def test_table_reads_any_version(spark, every):
-    held = ParamTable(spark, scratch_path(spark, "table"), 1, every).create(
+    held = ParamTable(spark, scratch_path(spark, "table"), 1, every, keep=10).create(
         spark.createDataFrame([(1, [10.0])], "id bigint, vec array<double>"))
     for b in range(5):
         held.append(spark.createDataFrame([(1, [1.0]), (b, [0.5])], "id bigint, vec array<double>"), b)
@@ -245,5 +245,65 @@ def test_loop_with_custom_step_and_merge(spark):
     merged = ParameterLoop(ParamTable(spark, f"{root}/m", 1, 1).create(), init, step, f"{root}/mo", server_merge=keep_greatest)
     n = over_slots(merged.process, asked, 6)
     assert rows(read_batches(spark, merged.out, n)) == [(i, float(max(i % 3, 2) if i >= 6 else i % 3)) for i in range(12)]
-    with pytest.raises(ValueError, match="compact_every=1"):
-        added.table.replace(asked, 0)
+
+
+def test_a_batch_reads_the_buckets_of_its_keys_only(spark):
+    held = ParamTable(spark, scratch_path(spark, "buckets"), 1, compact_every=4, n_buckets=64).create(
+        spark.range(4_000).select("id", F.array(F.lit(1.0)).alias("vec")))
+    everyone = spark.range(4_000).select("id", F.array(F.lit(0.5)).alias("vec"))
+    for b in range(3):
+        held.append(everyone, b)
+    assert len(held.read(3).inputFiles()) == 4 * 64
+    wanted = spark.createDataFrame([(i,) for i in range(0, 1_000, 100)], "id bigint")
+    got = held.read(3, wanted)
+    buckets = {f.split("_bucket=")[1].split("/")[0] for f in got.inputFiles()}
+    assert len(buckets) <= 10 and len(got.inputFiles()) <= 4 * 10
+    assert dict(rows(got)) == {i: [2.5] for i in range(0, 1_000, 100)}
+
+
+def test_buckets_are_summed_up_one_by_one_and_old_folders_go(spark):
+    held = ParamTable(spark, scratch_path(spark, "compact"), 1, compact_every=2, n_buckets=8).create(
+        spark.range(64).select("id", F.array(F.lit(0.0)).alias("vec")))
+    hot = held.spark.createDataFrame([(1, [1.0])], "id bigint, vec array<double>")
+    cold = held.spark.createDataFrame([(i, [1.0]) for i in range(64)], "id bigint, vec array<double>")
+    for b, deltas in enumerate([hot, hot, cold, hot, hot]):
+        held.append(deltas, b)
+    now = held.manifest(5)["buckets"]
+    own = spark.createDataFrame([(1,)], "id bigint").select(held.bucket_of("id")).first()[0]
+    # the hot bucket was summed up after its second and its fourth delta; the others still have their first one
+    assert now[str(own)] == ["base-3", "delta-4"]
+    assert all(parts == ["base-start", "delta-2"] for k, parts in now.items() if k != str(own))
+    parts = set(folders_in(spark, held.rows))
+    assert parts == {"part=base-start", "part=delta-2", "part=base-3", "part=delta-4"}
+    assert f"_bucket={own}" not in folders_in(spark, f"{held.rows}/part=base-start")
+    assert dict(rows(held.read(5)))[1] == [5.0]
+    # another driver finds the table by its folder alone
+    again = ParamTable(spark, held.root, 1)
+    assert dict(rows(again.read(5))) == dict(rows(held.read(5)))
+
+
+def test_new_items_get_the_next_places(spark, requests):
+    """No item changes its place, and negatives are drawn by place."""
+    users, items = starts(spark, 4, 4, -0.5, 0.5, 1), starts(spark, 15, 4, -0.5, 0.5, 2)
+    run = TrainEval(spark, scratch_path(spark, "places"), CONFIG).create()
+    n = over_slots(run.process, requests, 10)
+    order, seen = [], set()
+    held_users, held_items = {}, {}
+    for slot in range(3):
+        batch = [r for r in make_requests() if r[4] // 10 == slot]
+        new = sorted({r[2] for r in batch} - seen)
+        order, seen = order + new, seen | set(new)
+        held_items |= {i: items[i] for i in new}
+        held_users |= {r[1]: held_users.get(r[1], users[r[1]]) for r in batch}
+        held_users, held_items = train(batch, held_users, held_items, CONFIG, order)
+    got = {r["id"]: (r["vec"], r["idx"]) for r in run.items.read(n).collect()}
+    assert {i: x[1] for i, x in got.items()} == {i: at for at, i in enumerate(order)}
+    assert run.items.count(n) == len(order)
+    assert {i: x[0] for i, x in got.items()} == {i: pytest.approx(list(v)) for i, v in held_items.items()}
+
+
+def test_one_shard_alone(spark):
+    users = spark.createDataFrame([(1, [1.0])], "id bigint, vec array<double>")
+    items = spark.createDataFrame([(i, [float(i)]) for i in range(12)], "id bigint, vec array<double>")
+    run = TrainEval(spark, scratch_path(spark, "shard"), replace(CONFIG, dim=1, shards=3, only_shard=1))
+    assert [r["item_id"] for r in run.rank(users, items).sort("rank").collect()] == [10, 7, 4, 1]
