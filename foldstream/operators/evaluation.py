@@ -205,6 +205,12 @@ def latency_stats(entered: DataFrame, left: DataFrame, group: str, percents: Seq
     """
     both = lookup_join(left.select("eval_id", "ts_out"), entered.select("eval_id", group, "ts_in"), "eval_id", "inner")
     counts = both.groupBy(group, (F.col("ts_out") - F.col("ts_in")).alias("latency")).agg(F.count(F.lit(1)).alias("n"))
+    return latency_report(counts, group, percents, rows_per_segment)
+
+
+def latency_report(counts: DataFrame, group: str, percents: Sequence[int] = (50, 95, 99),
+                   rows_per_segment: int = ROWS_PER_SEGMENT) -> DataFrame:
+    """The same from (group, latency, n), one row per group and latency."""
     counts = staged(counts, "latencies")
     totals = counts.groupBy(F.col(group).alias("_group")).agg(F.sum("n").alias("all"))
     share = running_by_key(counts, [group], "latency", {"upto": ("sum", F.col("n"))}, rows_per_segment)

@@ -308,3 +308,17 @@ ORACLES["param_stream"] = f"""WITH {messages()}, {totals()},
  m AS (SELECT *, CASE WHEN first = 'Pull' THEN {init3('id')} ELSE [0.0, 0.0, 0.0] END AS start FROM tot),
  r AS (SELECT id, [start[1] + s0, start[2] + s1, start[3] + s2] AS vec FROM m)
 {unpack('r', 'id')}"""
+ORACLES["count_window_stream"] = ORACLES["count_window"]
+ORACLES["merge_evaluations_stream"] = ORACLES["merge_evaluations"]
+ORACLES["session_stream"] = ORACLES["session_by_key"]
+ORACLES["dense_ids_stream"] = ORACLES["dense_ids"]
+ORACLES["latency_stream"] = ORACLES["latency_stats"].replace(
+    "l_orderkey = o_orderkey)", "l_orderkey = o_orderkey\n  WHERE l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 200 DAY)")
+ORACLES["topic_latest"] = ORACLES["message_decode"] + " WHERE src % 4 <> 0"
+ORACLES["model_callbacks"] = f"""WITH {messages()}, {SUPP}, n AS (
+  SELECT *, sum(CASE WHEN kind = 'Push' THEN w0 ELSE 0 END) OVER w AS s0, sum(CASE WHEN kind = 'Push' THEN w1 ELSE 0 END) OVER w AS s1,
+         sum(CASE WHEN kind = 'Push' THEN w2 ELSE 0 END) OVER w AS s2, count(*) FILTER (kind = 'Push') OVER w AS pushes
+  FROM msg WINDOW w AS (PARTITION BY dest ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+ a AS (SELECT dest, src, kind, [coalesce(hvec[1], 0) + s0, coalesce(hvec[2], 0) + s1, coalesce(hvec[3], 0) + s2] AS vec
+       FROM n LEFT JOIN held ON held.id = dest WHERE kind = 'Pull' AND (hvec IS NOT NULL OR pushes > 0))
+{unpack('a', 'dest AS src, src AS dest')}"""

@@ -17,10 +17,12 @@ from foldstream.plans.loop import ParameterLoop, over_slots
 from foldstream.plans.store import ParamTable, read_batches
 from foldstream.plans import train_eval
 from foldstream.plans.train_eval import FactorConfig, evaluate_fixed
-from foldstream.session import scratch_path
+from foldstream.session import scratch_path, staged
 from foldstream.sources import sinks, text, topics
 from foldstream.sources import tables as t
+from foldstream.streaming import counters, keyed
 from foldstream.streaming import params as stream_params
+from foldstream.streaming import windows as stream_windows
 from foldstream.streaming.run import each_batch, run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -556,18 +558,150 @@ def param_loop(spark, sf):
 # --- streams --------------------------------------------------------------------------------
 
 
+def _pieces(df: DataFrame, order: str, pieces: int = 4) -> list[DataFrame]:
+    """The rows in `pieces` steps by `order`, a numeric column."""
+    cut, n = with_segment(df, order, max(1, ceil(df.count() / pieces)))
+    return [cut.where(F.col(SEGMENT) == i).drop(SEGMENT) for i in range(n)]
+
+
+def _arrive(spark, pieces: list[DataFrame], writer) -> int:
+    """Let rows arrive a piece at a time; `writer(stream)` makes the stream writer, which resumes from its checkpoint at
+    every step. The number of micro-batches that had rows."""
+    path = scratch_path(spark, "arrivals")
+    for piece in pieces:
+        piece.write.mode("append").parquet(path)
+        run_available(writer(spark.readStream.schema(piece.schema).parquet(path)))
+    return len(pieces)
+
+
 def _feed(spark, sf, writer, pieces: int = 4) -> int:
-    """Let the messages arrive in `pieces` steps in `seq` order; the number of micro-batches.
-
-    `writer(stream)` makes the stream writer; it resumes from its checkpoint at every step.
-    """
-    path = scratch_path(spark, "messages")
-    sent = t.messages(spark, sf)
-    cut, n = with_segment(sent, "seq", max(1, ceil(sent.count() / pieces)))
-    for i in range(n):
-        cut.where(F.col(SEGMENT) == i).drop(SEGMENT).write.mode("append").parquet(path)
-        run_available(writer(spark.readStream.schema(sent.schema).parquet(path)))
-    return n
+    """Let the messages arrive in `pieces` steps in `seq` order."""
+    return _arrive(spark, _pieces(t.messages(spark, sf), "seq", pieces), writer)
+
+
+def _append_to(spark, out: str, state: str):
+    return lambda df: df.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+
+
+def _timed_events(spark, sf) -> DataFrame:
+    return t.table(spark, sf, "events").select("user_id", "event_id", "value", F.col("ts").cast("timestamp").alias("at"))
+
+
+def _and_a_last_row(pieces: list[DataFrame], time: str) -> list[DataFrame]:
+    """A row without a key, 1000 days later, lets the watermark pass all others."""
+    schema = pieces[-1].schema
+    end = pieces[-1].agg(F.expr(f"max({time}) + interval 1000 days").alias(time))
+    return [*pieces, end.select(*((F.col(f.name) if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))]
+
+
+@query
+def count_window_stream(spark, sf):
+    """Windows of eight events of a user, in order, whatever the micro-batches."""
+    out, state = scratch_path(spark, "windows"), scratch_path(spark, "state")
+    # every piece holds events of all times, so many arrive long before and after their turn; the watermark waits for them
+    events = _timed_events(spark, sf)
+    pieces = _and_a_last_row([events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == i) for i in range(3)], "at")
+
+    def fold(rows):
+        return int(rows["event_id"].iloc[0]), int(rows["event_id"].iloc[-1]), float(rows["value"].sum())
+
+    def writer(stream):
+        found = keyed.ordered_count_windows(stream, "user_id", "event_id", "at", 8, fold,
+                                            "first_id bigint, last_id bigint, total double", "400 days")
+        return _append_to(spark, out, state)(found)
+
+    with keyed.state_store(spark):
+        _arrive(spark, pieces, writer)
+    return _round(spark.read.parquet(out), 4, "total")
+
+
+@query
+def merge_evaluations_stream(spark, sf):
+    """Partial lists of four shards arrive apart from each other; a list is merged when its fourth part is there."""
+    out, state = scratch_path(spark, "merged"), scratch_path(spark, "state")
+    parts = staged(_evaluations(spark, sf), "parts")
+    by = F.pmod(F.xxhash64("eval_id", F.col("topk")[0]["item_id"]), F.lit(4))
+    pieces = [parts.where(by == i) for i in range(4)]
+    with keyed.state_store(spark):
+        _arrive(spark, pieces, lambda stream: _append_to(spark, out, state)(keyed.merge_evaluations_stream(stream, N_SHARDS, CONFIG.k)))
+    return spark.read.parquet(out)
+
+
+@query
+def model_callbacks(spark, sf):
+    """Suppliers' vectors are the model; pulls read it and pushes change it, key by key."""
+    out, state = scratch_path(spark, "answers"), scratch_path(spark, "state")
+
+    def writer(messages):
+        found = keyed.model_callbacks(messages, "dest", "seq", keyed.answer_or_add, "src bigint, dest bigint, vec array<double>",
+                                      _supplier_params(spark, sf))
+        return _append_to(spark, out, state)(found)
+
+    with keyed.state_store(spark):
+        _feed(spark, sf, writer)
+    return _fields(spark.read.parquet(out), "src", "dest")
+
+
+@query
+def session_stream(spark, sf):
+    """Sessions of a user, each reported once the stream has passed it; a user that comes back has another."""
+    out, state = scratch_path(spark, "sessions"), scratch_path(spark, "state")
+    events = _timed_events(spark, sf).withColumn("second", F.unix_micros("at"))
+    pieces = _and_a_last_row([p.drop("second") for p in _pieces(events, "second")], "at")
+    _arrive(spark, pieces, lambda s: _append_to(spark, out, state)(stream_windows.sessions_stream(s, "user_id", "at", 21_600, "value")))
+    return _round(spark.read.parquet(out).where("user_id is not null"), 4, "total")
+
+
+@query
+def dense_ids_stream(spark, sf):
+    """Requests arrive in time order and get numbers without gaps over all micro-batches."""
+    out, state = scratch_path(spark, "numbered"), scratch_path(spark, "state")
+    rows = t._lines_with_orders(spark, sf, "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")
+    n = _arrive(spark, _pieces(rows, "ts"), lambda s: counters.dense_ids_stream(s, t.ARRIVAL_ORDER, out, state))
+    return read_batches(spark, out, n).select("eval_id", "user_id", "item_id", F.lit(1.0).alias("rating"), "ts")
+
+
+@query
+def latency_stream(spark, sf):
+    """Orders enter and lines leave, both in time order; latencies up to 200 days, counted in each micro-batch."""
+    out, state = scratch_path(spark, "latency"), scratch_path(spark, "state")
+    entered = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("eval_id"), "o_orderpriority", F.col("o_orderdate").cast("timestamp").alias("entered"))
+    left = t.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("eval_id"), F.col("l_shipdate").cast("timestamp").alias("left"))
+    paths = [scratch_path(spark, "entered"), scratch_path(spark, "left")]
+    cuts = entered.select(F.unix_seconds("entered").alias("s")).approxQuantile("s", [0.0, 0.34, 0.67], 0.01)
+    for i, low in enumerate(cuts):
+        high = cuts[i + 1] if i + 1 < len(cuts) else float("inf")
+        for df, time, path in zip((entered, left), ("entered", "left"), paths, strict=True):
+            second = F.unix_seconds(time)
+            df.where((second < high) if i == 0 else ((second >= low) & (second < high))).write.mode("append").parquet(path)
+        run_available(counters.latency_counts(spark.readStream.schema(entered.schema).parquet(paths[0]),
+                                              spark.readStream.schema(left.schema).parquet(paths[1]), "o_orderpriority", out, state, "200 days"))
+    return _round(counters.latency_so_far(spark, out, "o_orderpriority"), 4, "mean")
+
+
+@query
+def topic_latest(spark, sf):
+    """A reader that starts at a topic's latest message, and goes on from there after a restart; the sink writes the topic."""
+    topic, out = scratch_path(spark, "topic"), scratch_path(spark, "decoded")
+    states = [scratch_path(spark, "state") for _ in range(2)]
+    sent = t.messages(spark, sf, whole=True)
+    pieces = [text.encode_messages(sent.where(F.col("seq") % 4 == i).drop("seq")) for i in range(4)]
+    arrived = scratch_path(spark, "lines")
+
+    def publish(piece):
+        piece.write.mode("append").text(arrived)
+        run_available(topics.write_folder_topic(spark.readStream.text(arrived), topic, states[0]))
+
+    def listen():
+        decoded = _message_columns(text.decode_messages(topics.read_folder_topic(spark, topic)))
+        run_available(_append_to(spark, out, states[1])(decoded))
+
+    publish(pieces[0])
+    listen()  # nothing new yet: what is there was there before
+    for piece in pieces[1:]:
+        publish(piece)
+        listen()
+    return spark.read.schema("kind string, src bigint, dest bigint, v0 double, v1 double, v2 double").parquet(out)
 
 
 @query

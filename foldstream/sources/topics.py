@@ -1,10 +1,12 @@
-"""Topics of text messages: Kafka on a cluster, a folder of text files elsewhere."""
+"""Topics of text messages: Kafka on a cluster, a shared folder elsewhere."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
+from foldstream.sources import folder_topic
+
 
 def read_topic(spark: SparkSession, topic: str, servers: str | None = None,
                starting: str = "latest", per_batch: int | None = None) -> DataFrame:
@@ -25,6 +27,19 @@ def read_topic(spark: SparkSession, topic: str, servers: str | None = None,
     return reader.load().selectExpr("cast(value as string) as value")
 
 
+def read_folder_topic(spark: SparkSession, path: str, starting: str = "latest") -> DataFrame:
+    """Messages (value) of a topic that `write_folder_topic` writes, from its first or after its latest commit."""
+    folder_topic.register(spark)
+    return spark.readStream.format(folder_topic.FORMAT).option("path", path).option("starting", starting).load()
+
+
+def write_folder_topic(lines: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """A writer, not yet started; a micro-batch that runs again replaces its commit."""
+    folder_topic.register(lines.sparkSession)
+    return (lines.select("value").writeStream.format(folder_topic.FORMAT).outputMode("append")
+            .option("path", path).option("checkpointLocation", checkpoint))
+
+
 def write_topic(lines: DataFrame, topic: str, checkpoint: str, servers: str | None = None) -> DataStreamWriter:
     """A writer, not yet started, for a streaming DataFrame with a string column `value`."""
     writer = lines.select("value").writeStream.outputMode("append").option("checkpointLocation", checkpoint)

@@ -46,6 +46,20 @@ def slot_sessions(results: DataFrame, slot_seconds: int = 86400, gap: str = "60
             .select("time_slot", "ndcg", "n"))
 
 
+def sessions_stream(rows: DataFrame, key: str, time: str, gap_seconds: int, value: str, delay: str = "0 seconds") -> DataFrame:
+    """`session_by_key` on a stream, in append mode: (key, start_us, end_us, n, total) once the watermark has passed a session.
+
+    Rows at most `gap_seconds` apart belong together. A key that goes on later has a new session, with a row of its own.
+    """
+    at = F.unix_micros(F.col("_time"))
+    stamped = rows.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", delay)
+    # a session window ends before a row exactly `gap` later, which still belongs
+    gap = F.session_window("_time", f"{gap_seconds} seconds 1 microseconds")
+    found = stamped.groupBy(key, gap).agg(F.min(at).alias("start_us"), F.max(at).alias("end_us"),
+                                          F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    return found.select(key, "start_us", "end_us", "n", "total")
+
+
 def slot_totals(results: DataFrame, slot_seconds: int = 86400) -> DataFrame:
     """The report over everything seen so far, for complete or update mode."""
     return slot_report(results, slot_seconds)
