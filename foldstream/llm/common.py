@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldstream.session import scratch_path
@@ -16,16 +17,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A table of at most so many rows of a few numbers each may be broadcast.
 BROADCAST_ROWS = 200_000
 TEXTS_AT_ONCE = 512
+#: Bytes a writer holds back for a row group, and rows of an Arrow batch of texts (see `small_batches`).
+ROW_GROUP_BYTES, ROWS_A_BATCH = 32 << 20, 512
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once as Parquet in the shared folder: later steps reread them and never recompute them."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = ROWS_A_BATCH) -> Iterator[None]:
+    """What is executed inside hands rows to Python so many at a time: with texts in them, batches of Spark's usual
+    10,000 rows take hundreds of MB outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null has none."""
     parts = F.size(F.split(text, SPACES, -1)).cast("long")

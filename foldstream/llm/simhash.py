@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldstream.llm.common import apply_copies, identity_columns, small_or_not, staged, text_udf
+from foldstream.llm.common import apply_copies, identity_columns, small_batches, small_or_not, staged, text_udf
 from foldstream.llm.components import component_of
 
 SEED = 42
@@ -416,6 +416,11 @@ def keep_one_alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One document of each group linked by a shingle similarity of `least` or more, columns unchanged: the one with the
     smallest id (null last, then by content). Texts without words are one group."""
     known = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *identity_columns(docs))
+    with small_batches(docs.sparkSession):
+        return _keep_one_alike(docs, known, size, least)
+
+
+def _keep_one_alike(docs: DataFrame, known: DataFrame, size: int, least: float) -> DataFrame:
     marked, sets = _sets(known, size, least)
     label = component_of(alike_links(known, marked, sets, size, least)).withColumnsRenamed({"node": "_k"})
     marked = marked.drop("_low")
