@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -157,7 +158,7 @@ class Aligner:
         """One array per column of ALIGNED."""
         encoded = self.encode(texts)
         counts = [np.array([len(x) for x in side], np.int64) for side in encoded]
-        ids = [np.fromiter((i for x in side for i in x), np.int64, int(n.sum())) for side, n in zip(encoded, counts, strict=True)]
+        ids = [np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in zip(encoded, counts, strict=True)]
         group = group_numbers(*(np.cumsum(size[i]) for size, i in zip(self.bytes, ids, strict=True)))
         begin = [np.r_[0, np.cumsum(n)] for n in counts]
         n_groups = int(group[1][-1]) + 1 if len(group[1]) else 0
