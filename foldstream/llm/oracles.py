@@ -12,8 +12,27 @@ _FOUND = r"""
 
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+"""
 _VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$"""
-_ENTROPY = """list_max(list_transform(range(1, length(c) - 18), lambda i: log2(20) - list_sum(list_transform(
-   map_values(list_histogram(string_split(substr(c, i, 20), ''))), lambda n: n * log2(n))) / 20))"""
+
+
+def _entropy(c: str) -> str:
+    return f"""list_max(list_transform(range(1, length({c}) - 18), lambda i: log2(20) - list_sum(list_transform(
+   map_values(list_histogram(string_split(substr({c}, i, 20), ''))), lambda n: n * log2(n))) / 20))"""
+
+
+def _hexadecimal(c: str) -> str:
+    return f"regexp_full_match({c}, '[0-9a-fA-F]+') AND regexp_matches({c}, '[0-9]') AND regexp_matches({c}, '[a-fA-F]')"
+
+
+def _has(c: str, *classes: str) -> str:
+    return " AND ".join(f"regexp_matches({c}, '[{x}]')" for x in classes)
+
+
+#: Of a candidate of no class of its own, a part of letters and digits counts, by the part's class.
+_PART = f"""list_count(list_filter(regexp_extract_all(c, '[A-Za-z0-9]{{20,}}'), lambda p: CASE WHEN {_hexadecimal('p')} THEN {_entropy('p')} >= 2.93
+   WHEN {_has('p', '0-9', 'a-z', 'A-Z')} THEN {_entropy('p')} >= 3.53 WHEN {_has('p', '0-9', 'a-z')} THEN {_entropy('p')} >= 3.48
+   WHEN {_has('p', '0-9', 'A-Z')} THEN {_entropy('p')} >= 3.4
+   WHEN NOT {_has('p', '0-9')} AND length(regexp_replace(p, '[^A-Z]', '', 'g')) / length(p) BETWEEN 0.3 AND 0.7 THEN {_entropy('p')} >= 3.62
+   ELSE false END)) > 0"""
 
 ORACLES: dict[str, str] = {
     "op10_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS sha FROM pages),
@@ -30,8 +49,7 @@ FROM w""",
  kept AS (SELECT row, start, kind, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || start || ':' || (start + length(c)) AS w FROM flat
   WHERE (kind = 0 AND length(regexp_extract(c, '{_VALUE}', 1)) >= 8) OR kind IN (1, 2)
    OR (kind = 3 AND NOT regexp_full_match(c, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}|[0-9A-Z]*(?i:example)[0-9A-Za-z]*|(?:/[a-z0-9_-]+)+/?|[0-9=+/_-]+')
-    AND CASE WHEN regexp_full_match(c, '[0-9a-fA-F]+') AND regexp_matches(c, '[0-9]') AND regexp_matches(c, '[a-fA-F]') THEN {_ENTROPY} >= 2.93
-        WHEN regexp_matches(c, '[0-9]') AND regexp_matches(c, '[a-z]') AND regexp_matches(c, '[A-Z]') THEN {_ENTROPY} >= 3.53 ELSE false END)),
+    AND CASE WHEN {_hexadecimal('c')} THEN {_entropy('c')} >= 2.93 WHEN {_has('c', '0-9', 'a-z', 'A-Z')} THEN {_entropy('c')} >= 3.53 ELSE {_PART} END)),
  sums AS (SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   string_agg(w, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(w, ',' ORDER BY start, kind) AS spans FROM kept GROUP BY row)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,

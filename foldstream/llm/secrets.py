@@ -55,7 +55,7 @@ class EntropyRules:
     allowed: tuple[str, ...] = (
         r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUID
         r"[0-9A-Z]*(?i:example)[0-9A-Za-z]*",  # documentation keys
-        r"(?:/[a-z0-9_-]+)+/?",  # paths
+        r"(?!.*//)/[a-z0-9_/-]+",  # paths: no repeated group, so long ones cost no stack
         r"[0-9=+/_-]+",  # numbers and rules
     )
 
@@ -95,8 +95,20 @@ def matches(df: DataFrame, text_col: str, pattern: str, into: str, cheap: Column
     ).withColumn(into, F.filter(into, lambda x: x["found"].isNotNull())).drop("_found", "_gaps", "_steps", "_before")
 
 
+def _reaches(found: Column, window: int, least: Column) -> Column:
+    """Whether a window of the string has a Shannon entropy of `least` bits a character or more.
+
+    The string is cut, in one pass, into blocks that overlap by a window less one character, so that a step costs the
+    length of a block and not of the string; the first block that reaches the threshold ends the search.
+    """
+    blocks = F.regexp_extract_all(found, F.lit(f"(?=(.{{{window},{BLOCK + window - 1}}})).{{1,{BLOCK}}}"), F.lit(1))
+    # beside each block, so that the threshold is worked out once and not for every block
+    both = F.arrays_zip(blocks.alias("block"), F.array_repeat(least, F.size(blocks)).alias("least"))
+    return F.exists(both, lambda x: _best_entropy(x["block"], window) >= x["least"])
+
+
 def _best_entropy(found: Column, window: int) -> Column:
-    """Largest Shannon entropy, in bits a character, of a window of the string.
+    """Largest Shannon entropy, in bits a character, of a window of the block.
 
     The state is s, the sum of c * log2(c) over the window's counts c; when the window moves, only the counts of
     the leaving and of the entering character change.
@@ -137,7 +149,7 @@ def _random_part(part: Column, rules: EntropyRules) -> Column:
     least = (F.when(_is_hexadecimal(part), F.lit(rules.hexadecimal)).when(digit & small & capital, F.lit(rules.mixed))
              .when(digit & small, F.lit(rules.small)).when(digit & capital, F.lit(rules.capital))
              .when(~digit & share.between(rules.balance, 1 - rules.balance), F.lit(rules.letters)))
-    return F.coalesce(F.when(least.isNotNull(), _best_entropy(part, rules.window) >= least), F.lit(False))
+    return F.coalesce(F.when(least.isNotNull(), _reaches(part, rules.window, least)), F.lit(False))
 
 
 def _random(found: Column, rules: EntropyRules) -> Column:
@@ -146,7 +158,7 @@ def _random(found: Column, rules: EntropyRules) -> Column:
     least = F.when(_is_hexadecimal(found), F.lit(rules.hexadecimal)).when(mixed, F.lit(rules.mixed))
     allowed = found.rlike(r"\A(?:" + "|".join(f"(?:{a})" for a in rules.allowed) + r")\z")
     parts = F.regexp_extract_all(found, F.lit(f"[A-Za-z0-9]{{{rules.window},}}"), F.lit(0))
-    return (F.when(allowed, F.lit(False)).when(least.isNotNull(), _best_entropy(found, rules.window) >= least)
+    return (F.when(allowed, F.lit(False)).when(least.isNotNull(), _reaches(found, rules.window, least))
             .otherwise(F.exists(parts, lambda part: _random_part(part, rules))))
 
 

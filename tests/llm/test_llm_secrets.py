@@ -94,3 +94,26 @@ def test_awkward_rows(spark):
     assert scan(no_docs(spark)).count() == 0 and len(KINDS) == 4
     plan = scan(docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_token_of_a_million_characters(spark):
+    """Time is linear in a token's length: random letters stand at its end only, and a path of many parts is allowed."""
+    import random
+    import time
+
+    rng = random.Random(8)
+    calm = "ab" * 499_990
+    wild = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
+    df = spark.createDataFrame([(1, calm), (2, calm + wild), (3, "/ab" * 100_000)], "doc_id long, text string")
+    begun = time.monotonic()
+    got = {r["doc_id"]: [(x["start"], x["stop"]) for x in r["_spans"] if x["kind"] == 3] for r in scan(df).collect()}
+    assert got == {1: [], 2: [(0, len(calm) + 40)], 3: []}
+    assert time.monotonic() - begun < 120
+
+
+def test_windows_that_cross_the_blocks_of_a_long_token(spark):
+    """A random stretch anywhere in a long token is found, also where it crosses the blocks that are looked at in turn."""
+    wild = "q7Zr2Kx9Lm4Tp8Vb3Nc6"
+    data = [(at, "aA1" * 50 + "a" * at + wild + "aA1" * 50) for at in range(0, 130, 13)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert all(len([x for x in r["_spans"] if x["kind"] == 3]) == 1 for r in scan(df).collect())
