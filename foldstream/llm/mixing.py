@@ -11,7 +11,7 @@ the landing problem, whose roundings are compared one by one.
 Blocks, orders and random numbers follow from the rows alone, so reruns agree.
 
 Defined results: a null or empty text has size 0; its copies take no words. A null source is a source of its own, the
-last one. Repeated rows are decided one by one. Sources without words have the target 0. Other columns play no part.
+last one. Of equal rows whole shares are taken for sure and one of them is decided on. Sources without words have the target 0. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-_DECIDED = "_row_a long, _row_b int, _id long, _at_source long, _words long, _p double"
+_DECIDED = "_row_a long, _row_b int, _id long, _at_source long, _words long, _p double, _rows long"
 
 
 def _cube_block(seed: int):
@@ -150,7 +150,7 @@ def _cube_block(seed: int):
 
 
 def cube(rows: DataFrame, block_rows: int = BLOCK_ROWS, seed: int = 7) -> DataFrame:
-    """Rows (_row_a, _row_b, _id, _at_source, _words, _p) with every _p moved to 0 or 1, balanced within _at_source."""
+    """Rows (_row_a, _row_b, _id, _at_source, _words, _p, _rows) with every _p moved to 0 or 1, balanced within _at_source."""
     done, level = None, 0
     while True:
         counts = rows.groupBy("_at_source").agg(F.count("*").alias("_n")).withColumn(
@@ -183,15 +183,21 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     joined = (sized.withColumn("_at_source", F.xxhash64("_source", F.col("_source").isNull()))
               .join(small_or_not(targets.drop("_source")), "_at_source"))
     ratio = F.when(F.col("_size") > 0, F.col("_target") / F.col("_size")).otherwise(F.lit(0.0))
-    joined = joined.withColumn("_sure", F.floor(ratio + _NEAR).cast("long")).withColumn("_p", F.greatest(ratio - F.col("_sure"), F.lit(0.0)))
+    share = F.greatest(ratio - F.floor(ratio + _NEAR), F.lit(0.0))
+    # of equal rows a whole number is taken for sure; what is left of them is one undecided row, so they never fill a block
+    units = joined.groupBy("_row_a", "_row_b", "_id", "_at_source", "_words").agg(F.count("*").alias("_rows"), F.first(share).alias("_share"))
+    units = staged(units.withColumn("_all", F.col("_share") * F.col("_rows")).withColumn(
+        "_p", F.greatest(F.col("_all") - F.floor(F.col("_all") + _NEAR), F.lit(0.0))).drop("_all", "_share"), "units")
     fields = [c.split()[0] for c in _DECIDED.split(", ")]
-    rounded = cube(joined.where(f"_p > {_NEAR}").select(*fields), block_rows)
-    sure = joined.where(f"_p <= {_NEAR}").select(*fields).withColumn("_p", F.lit(0.0))
-    known = small_or_not(targets)
-    both = sure.unionByName(rounded).join(known, "_at_source")
-    base = F.when(F.col("_size") > 0, F.floor(F.col("_target") / F.col("_size") + _NEAR)).otherwise(0).cast("long")
-    return both.select("_row_a", "_row_b", "_id", F.col("_words").alias("_size"), "_source",
-                       F.col("_size").alias("_source_size"), "_target", (base + F.col("_p").cast("long")).alias("_copies"))
+    rounded = cube(units.where(f"_p > {_NEAR}").select(*fields), block_rows)
+    sure = units.where(f"_p <= {_NEAR}").select(*fields).withColumn("_p", F.lit(0.0))
+    both = sure.unionByName(rounded).join(small_or_not(targets), "_at_source")
+    base = F.floor(ratio + _NEAR).cast("long")
+    more = F.floor(share * F.col("_rows") + _NEAR).cast("long") + F.col("_p").cast("long")
+    # one row for each of the equal ones, the first of which are taken once more
+    each = both.select("*", base.alias("_base"), more.alias("_more"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))).alias("_nth"))
+    return each.select("_row_a", "_row_b", "_id", F.col("_words").alias("_size"), "_source", F.col("_size").alias("_source_size"), "_target",
+                       (F.col("_base") + (F.col("_nth") <= F.col("_more")).cast("long")).alias("_copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",

@@ -86,3 +86,16 @@ def test_awkward_rows(spark):
     assert sum(r["_source"] is None for r in got) == 2
     assert mix(docs(spark)).columns == docs(spark).columns
     assert plan(no_docs(spark)).count() == 0 and mix(no_docs(spark)).count() == 0
+
+
+def test_equal_rows_are_one_decision(spark):
+    """Many equal rows of one document: their source comes near its target and no block holds them."""
+    df = spark.range(3_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("a").alias("source"))
+    df = df.unionByName(spark.range(50).select((F.col("id") + 100).alias("doc_id"), F.lit("x y").alias("text"), F.lit("b").alias("source")))
+    taken = plan(df, block_rows=100).collect()
+    assert len(taken) == 3_050
+    for source in ("a", "b"):
+        own = [r for r in taken if r["_source"] == source]
+        assert abs(sum(r["_size"] * r["_copies"] for r in own) - own[0]["_target"]) <= 3
+        assert {r["_copies"] for r in own} <= {0, 1, 2}
+    assert sum(r["_copies"] for r in plan(df, block_rows=100).collect()) == sum(r["_copies"] for r in taken)
