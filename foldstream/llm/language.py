@@ -33,7 +33,9 @@ from foldstream.llm.common import small_or_not, text_udf
 UNKNOWN = "und"
 #: A longer run of letters, as in scripts without spaces, counts as several words of at most so many letters.
 MOST_LETTERS = 40
-_LETTERS = re.compile(rf"[^\W\d_]{{1,{MOST_LETTERS}}}")
+#: Numbers that `re` counts as word characters though they are no digits: fractions, powers, Roman and circled numbers.
+_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]{{1,{MOST_LETTERS}}}")
 #: Words of a block; a document is a row of blocks.
 BLOCK = 64
 #: Distinct words whose scores a worker remembers.

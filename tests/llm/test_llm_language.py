@@ -101,3 +101,9 @@ def test_held_out_accuracy(spark):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang").collect()}
     rows = [r for r in op4_language(spark, folder).collect() if r["held_out"]]
     assert len(rows) > 20 and sum(truth[r["doc_id"]] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
+
+
+def test_numbers_are_no_letters(spark):
+    assert language.words("½ ² Ⅷ ٣ ① 7 _ a½b ªº") == ["a", "b", "ªº"]
+    for text in ("½ ² Ⅷ ٣ ①", "12 _ + ½"):
+        assert language.words(text) == []
