@@ -1,9 +1,8 @@
 """Scoring users against items and keeping the best.
 
-Items are cut into parts and users into chunks, both of bounded size; each (chunk, part) cell is
-one Arrow cogroup that numpy scores as a matrix product. Only a cell's best `k` per user leave it,
-so the shuffle carries users once per part they visit and items once per chunk, never a score per
-pair. Scores are rounded to SCORE_DIGITS and ties go to the lower item id.
+Items are cut into parts and users into chunks, both of bounded size. For the best items one task walks the parts of a lane with
+a chunk of users and their k best so far (`walk`), so only `k` rows per user and lane leave it, however many parts
+there are. Scores are rounded to SCORE_DIGITS and ties go to the lower item id.
 """
 
 from __future__ import annotations
@@ -14,185 +13,109 @@ from math import ceil, inf
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foldstream.functions.vectors import length_sq
+from foldstream.operators.walk import (SCORE_DIGITS, SLICE_SCORES, USERS, all_of, by_length, entries, found_in_lane, matrix,
+                                       scored_pairs, walk)
 from foldstream.session import cut_lineage
 
-SCORE_DIGITS = 9
 PART_ITEMS = 65_536
 CHUNK_USERS = 65_536
+#: Chunks are made smaller, down to this, before the items of a chunk are shared between tasks.
+LEAST_CHUNK_USERS = 256
+#: Parts that one task walks at most: bounds what is lost with a task.
+LANE_PARTS = 64
 PART_BLOCKS = 16
 CELLS_PER_CORE = 2
-_SLICE_SCORES = 1_000_000  # scores held at once inside a cell
-_BLOCK = 64
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    vectors = column.combine_chunks()
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = pa.concat_arrays(vectors.chunks)
-    flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(vectors), -1)
-
-
-def _no_nan(scores: np.ndarray) -> None:
-    """Infinite scores have a place in the order, undefined ones do not."""
-    if np.isnan(scores).any():
-        raise ValueError("a score is not a number")
-
-
-def _ids(column: pa.ChunkedArray) -> np.ndarray:
-    return column.to_numpy()
-
-
-def _entries(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Item ids and vectors of packed blocks."""
-    entries = pa.concat_arrays([chunk.flatten() for chunk in blocks["entries"].chunks])
-    return entries.field("item_id").to_numpy(), _matrix(pa.chunked_array([entries.field("vec")]))
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """Per row the k best by (rounded score desc, id asc): row numbers, ids, scores and ranks."""
-    _no_nan(scores)
-    n = scores.shape[1]
-    if n > k:
-        # the k-th greatest of block maxima is at most the k-th score and cheaper to find
-        blocks = n // _BLOCK
-        tops = scores[:, :blocks * _BLOCK].reshape(len(scores), blocks, _BLOCK).max(axis=2) if blocks >= k else scores
-        bar = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k]
-        # keeps everything that can tie with the k-th score after rounding
-        rows, cols = np.nonzero(scores >= np.where(np.isinf(bar), bar, bar - 10.0 ** -SCORE_DIGITS)[:, None])
-    else:
-        rows, cols = np.divmod(np.arange(scores.size), n)
-    picked_ids = ids[cols]
-    picked = np.round(scores[rows, cols], SCORE_DIGITS) + 0.0
-    order = np.lexsort((picked_ids, -picked, rows))
-    rows, picked_ids, picked = rows[order], picked_ids[order], picked[order]
-    ranks = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") + 1
-    keep = ranks <= k
-    return rows[keep], picked_ids[keep], picked[keep], ranks[keep]
-
-
-def _table(part: int, users: np.ndarray, items: np.ndarray, scores: np.ndarray, ranks: np.ndarray) -> pa.Table:
-    return pa.table({"user_id": users, "item_id": items, "score": scores, "rank": ranks.astype(np.int32),
-                     "part": np.full(len(users), part, dtype=np.int32)})
-
+#: Coordinates that bound a score before it is computed.
+FOCUS = 5
 
 _EMPTY = np.empty(0, dtype=np.int64)
 
 
-def _score_all(k: int) -> Callable:
-    def cell(key, users: pa.Table, items: pa.Table) -> pa.Table:
-        part = key[1].as_py()
-        if not users.num_rows or not items.num_rows:
-            return _table(part, _EMPTY, _EMPTY, np.empty(0), _EMPTY)
-        user_ids, q = _ids(users["user_id"]), _matrix(users["vec"])
-        item_ids, v = _entries(items)
-        step = max(1, _SLICE_SCORES // len(item_ids))
-        found = []
-        for at in range(0, len(user_ids), step):
-            rows, ids, best, ranks = _best(item_ids, q[at:at + step] @ v.T, k)
-            found.append((user_ids[at:at + step][rows], ids, best, ranks))
-        return _table(part, *(np.concatenate(c) for c in zip(*found)))
-
-    return cell
-
-
-def _score_by_length(k: int, bucket_size: int) -> Callable:
-    """The same result; buckets of items by falling length are skipped once they cannot matter."""
-
-    def cell(key, users: pa.Table, items: pa.Table) -> pa.Table:
-        part = key[1].as_py()
-        if not users.num_rows or not items.num_rows:
-            return _table(part, _EMPTY, _EMPTY, np.empty(0), _EMPTY)
-        user_ids, q = _ids(users["user_id"]), _matrix(users["vec"])
-        item_ids, v = _entries(items)
-        lengths = np.linalg.norm(v, axis=1)
-        order = np.argsort(-lengths, kind="stable")
-        item_ids, v, lengths = item_ids[order], v[order], lengths[order]
-        q_lengths = np.linalg.norm(q, axis=1)
-        slack = 10.0 ** -SCORE_DIGITS  # covers rounding, and lets equal scores compete by id
-
-        width = max(1, _SLICE_SCORES // (k + bucket_size))
-        found = []
-        for at in range(0, len(user_ids), width):
-            rows_q, rows_len = q[at:at + width], q_lengths[at:at + width]
-            floor = users["floor"].to_numpy()[at:at + width]
-            m = len(rows_q)
-            free = np.iinfo(np.int64).max  # an empty place comes last, after true scores of -inf
-            top_ids = np.full((m, k), free)
-            top = np.full((m, k), -inf)
-            active = np.arange(m)
-            for b in range(0, len(item_ids), bucket_size):
-                # later buckets are shorter and k-th scores only rise: who is out stays out
-                bar = np.maximum(top[active, k - 1], floor[active])
-                with np.errstate(invalid="ignore"):
-                    reach = rows_len[active] * lengths[b]
-                # 0 * inf says nothing about the bucket: it is scored
-                active = active[np.isnan(reach) | (reach * (1 + 1e-12) + slack >= bar)]
-                if not len(active):
-                    break
-                scores = np.round(rows_q[active] @ v[b:b + bucket_size].T, SCORE_DIGITS) + 0.0
-                _no_nan(scores)
-                better = scores.max(axis=1) >= top[active, k - 1]
-                changed, scores = active[better], scores[better]
-                ids = np.broadcast_to(item_ids[b:b + bucket_size], scores.shape)
-                ids = np.concatenate([top_ids[changed], ids], axis=1)
-                scores = np.concatenate([top[changed], scores], axis=1)
-                rank = np.lexsort((ids, -scores), axis=1)[:, :k]
-                top_ids[changed] = np.take_along_axis(ids, rank, axis=1)
-                top[changed] = np.take_along_axis(scores, rank, axis=1)
-            rows, cols = np.nonzero(top_ids != free)
-            found.append((user_ids[at:at + width][rows], top_ids[rows, cols], top[rows, cols], cols + 1))
-        return _table(part, *(np.concatenate(c) for c in zip(*found)))
-
-    return cell
-
-
 def _summarise_cell(key, users: pa.Table, items: pa.Table) -> pa.Table:
     """Per user: number of scores, their sum, least and greatest."""
     if not users.num_rows or not items.num_rows:
         empty = np.empty(0)
         return pa.table({"user_id": _EMPTY, "n": _EMPTY, "total": empty, "lo": empty, "hi": empty})
-    q, v = _matrix(users["vec"]), _entries(items)[1]
-    step = max(1, _SLICE_SCORES // len(v))
+    q, v = matrix(users["vec"]), entries(items)[1]
+    step = max(1, SLICE_SCORES // len(v))
     parts = []
     for at in range(0, len(q), step):
         scores = q[at:at + step] @ v.T
         parts.append((scores.sum(axis=1), scores.min(axis=1), scores.max(axis=1)))
     total, lo, hi = (np.concatenate(c) for c in zip(*parts))
-    return pa.table({"user_id": _ids(users["user_id"]), "n": np.full(len(q), len(v), dtype=np.int64),
+    return pa.table({"user_id": users["user_id"].to_numpy(), "n": np.full(len(q), len(v), dtype=np.int64),
                      "total": total, "lo": lo, "hi": hi})
 
 
-_PICKED = "user_id bigint, item_id bigint, score double, rank int, part int"
+_PICKED = "user_id bigint, item_id bigint, score double, rank int"
+_ENTRIES = "array<struct<item_id: bigint, vec: array<double>>>"
+
+
+def _chunk_of(n: int) -> Column:
+    return F.pmod(F.xxhash64("user_id"), F.lit(n)).cast("int")
+
+
+def _for_chunks(items: DataFrame, by: list[str], chunks: int) -> DataFrame:
+    """Items packed first, so that a chunk's copy of them is a few large rows: (by, entries, chunk)."""
+    packed = items.groupBy(*by, F.pmod(F.xxhash64("item_id", F.lit(1)), F.lit(PART_BLOCKS)).alias("block")).agg(
+        F.collect_list(F.struct(F.col("item_id").cast("bigint").alias("item_id"), "vec")).alias("entries"))
+    return packed.select(*by, "entries", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
 
 
 def _in_cells(visits: DataFrame, items: DataFrame, n_users: int, n_parts: int, kernel: Callable,
               schema: str) -> DataFrame:
-    """Run `kernel` on every cell.
+    """Run `kernel` on every cell of a chunk of users and one part.
 
-    visits: (user_id, vec, part, ...), one row per part a user visits; items: (item_id, vec, part).
+    visits: (user_id, vec, part), one row per part a user visits; items: (item_id, vec, part).
     """
     cores = visits.sparkSession.sparkContext.defaultParallelism
     chunks = max(ceil(n_users / CHUNK_USERS), ceil(min(cores * CELLS_PER_CORE, n_users) / n_parts), 1)
-    cells = chunks * n_parts
-    left = visits.withColumn("chunk", F.pmod(F.xxhash64("user_id"), F.lit(chunks)).cast("int"))
-    # packed first, so that a chunk's copy of the items is a few large rows
-    packed = items.groupBy("part", F.pmod(F.xxhash64("item_id", F.lit(1)), F.lit(PART_BLOCKS)).alias("block")).agg(
-        F.collect_list(F.struct("item_id", "vec")).alias("entries"))
-    right = packed.select("part", "entries", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    left = visits.withColumn("chunk", _chunk_of(chunks))
+    right = _for_chunks(items, ["part"], chunks)
     # a count given here is kept by adaptive execution: cells are few but each is much work
-    n = 2 * cells
+    n = 2 * chunks * n_parts
     key = ["chunk", "part"]
     return (left.repartition(n, *key).groupBy(*key)
             .cogroup(right.repartition(n, *key).groupBy(*key))
             .applyInArrow(kernel, schema))
 
 
+def _cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
+def _chunks(n_users: int, wanted: int) -> int:
+    """Number of chunks of users, `wanted` of them if that leaves them neither large nor tiny."""
+    return max(1, ceil(n_users / CHUNK_USERS), min(wanted, ceil(n_users / LEAST_CHUNK_USERS)))
+
+
+def _lanes(n_parts: int, n_users: int, cores: int) -> int:
+    """Number of lanes: one, unless a lane would be too long or the chunks are too few to keep all cores at work."""
+    wanted = cores * CELLS_PER_CORE
+    return max(1, min(n_parts, max(ceil(n_parts / LANE_PARTS), ceil(wanted / _chunks(n_users, wanted)))))
+
+
+def _walk_lanes(visits: DataFrame, items: DataFrame, n_users: int, n_lanes: int, kernel: Callable,
+                schema: str = _PICKED) -> DataFrame:
+    """Run `kernel` on every cell of a chunk of users and a lane, with the lane's parts in order.
+
+    visits: (user_id, vec, lane, floor), one row per lane a user visits; items: (item_id, vec, lane, part).
+    """
+    chunks = _chunks(n_users, ceil(_cores(visits) * CELLS_PER_CORE / n_lanes))
+    left = visits.select(_chunk_of(chunks).alias("chunk"), "lane", F.lit(USERS).alias("part"), F.col("user_id").cast("bigint").alias("user_id"),
+                         "vec", "floor", F.lit(None).cast(_ENTRIES).alias("entries"))
+    right = _for_chunks(items, ["lane", "part"], chunks).select(
+        "chunk", "lane", "part", F.lit(None).cast("bigint").alias("user_id"), F.lit(None).cast("array<double>").alias("vec"),
+        F.lit(None).cast("double").alias("floor"), "entries")
+    return (left.unionByName(right).repartition(2 * chunks * n_lanes, "chunk", "lane")
+            .sortWithinPartitions("chunk", "lane", "part").mapInArrow(kernel, schema))
+
+
 def _hashed_parts(items: DataFrame, n_items: int, part_items: int) -> tuple[DataFrame, int]:
     n = max(1, ceil(n_items / part_items))
     return items.select("item_id", "vec", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int").alias("part")), n
@@ -208,11 +131,20 @@ def ranked(scored: DataFrame, k: int, by: list[str]) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _merge(picked: DataFrame, k: int, n_parts: int) -> DataFrame:
-    """Best of the parts' best: at most n_parts * k rows per user. One part has ranked its rows."""
-    if n_parts == 1:
-        return picked.drop("part")
-    return ranked(picked.drop("part", "rank"), k, ["user_id"])
+def _merge(picked: DataFrame, k: int, n_lanes: int) -> DataFrame:
+    """Best of the lanes' best: at most n_lanes * k rows per user. One lane has ranked its rows."""
+    if n_lanes == 1:
+        return picked
+    return ranked(picked.drop("rank"), k, ["user_id"])
+
+
+def _to_lanes(users: DataFrame, n_lanes: int) -> DataFrame:
+    return users.select("user_id", "vec", F.explode(F.sequence(F.lit(0), F.lit(n_lanes - 1))).alias("lane"), F.lit(-inf).alias("floor"))
+
+
+def _dealt(parted: DataFrame, n_lanes: int, first: int = 0) -> DataFrame:
+    """Parts from `first` on, dealt over the lanes in turn."""
+    return parted.withColumn("lane", F.pmod(F.col("part") - F.lit(first), F.lit(n_lanes)).cast("int"))
 
 
 def topk(users: DataFrame, items: DataFrame, k: int, part_items: int = PART_ITEMS, n_users: int | None = None,
@@ -221,8 +153,9 @@ def topk(users: DataFrame, items: DataFrame, k: int, part_items: int = PART_ITEM
     already need not be taken again."""
     n_users = users.count() if n_users is None else n_users
     parted, n_parts = _hashed_parts(items, items.count() if n_items is None else n_items, part_items)
-    picked = _in_cells(_visit_all(users, n_parts), parted, n_users, n_parts, _score_all(k), _PICKED)
-    return _merge(picked, k, n_parts)
+    lanes = _lanes(n_parts, n_users, _cores(users))
+    picked = _walk_lanes(_to_lanes(users, lanes), _dealt(parted, lanes), n_users, lanes, walk(k, all_of))
+    return _merge(picked, k, lanes)
 
 
 def score_summary(users: DataFrame, items: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
@@ -238,47 +171,65 @@ def local_topk(users: DataFrame, items: DataFrame, k: int, part_items: int = PAR
     """(user_id, shard, item_id, score, rank): the k best of each item shard.
 
     items: (item_id, vec, shard). With a column `shard` on `users` too, a user sees that shard only.
-    A shard above `part_items` is scored in several parts that are merged here, so a large shard
-    costs no single task more.
+    A shard above `part_items` lies in several parts, which one task walks; only a shard of more than LANE_PARTS
+    parts has several lanes that are merged here.
     """
     sizes = items.groupBy("shard").count().collect()  # one row per shard of the model
-    first, parts = 0, []
+    layout, shard_of, parts = [], [], 0
     for row in sizes:
         n = ceil(row["count"] / part_items)
-        parts.append((row["shard"], first, n))
-        first += n
-    layout = F.broadcast(items.sparkSession.createDataFrame(parts, "shard int, first int, n int"))
-    parted = items.join(layout, "shard").select(
-        "item_id", "vec", (F.col("first") + F.pmod(F.xxhash64("item_id"), F.col("n"))).cast("int").alias("part"))
+        lanes = ceil(n / LANE_PARTS)
+        layout.append((row["shard"], parts, n, len(shard_of), lanes))
+        shard_of += [(len(shard_of) + i, row["shard"]) for i in range(lanes)]
+        parts += n
+    spark = items.sparkSession
+    known = F.broadcast(spark.createDataFrame(layout, "shard int, first int, n int, lane0 int, lanes int"))
+    in_shard = F.pmod(F.xxhash64("item_id"), F.col("n"))
+    parted = items.join(known, "shard").select(
+        "item_id", "vec", (F.col("first") + in_shard).cast("int").alias("part"),
+        (F.col("lane0") + F.pmod(in_shard, F.col("lanes"))).cast("int").alias("lane"))
+    n_lanes = max(len(shard_of), 1)
     if "shard" in users.columns:
-        seen = users.join(layout, "shard")
-        visits = seen.select("user_id", "vec", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("part"))
+        visits = users.join(known, "shard").select(
+            "user_id", "vec", F.explode(F.sequence(F.col("lane0"), F.col("lane0") + F.col("lanes") - 1)).alias("lane"), F.lit(-inf).alias("floor"))
     else:
-        visits = _visit_all(users, max(first, 1))
-    picked = _in_cells(visits, parted, users.count(), max(first, 1), _score_all(k), _PICKED)
-    shard_of = F.broadcast(items.sparkSession.createDataFrame(
-        [(f + i, s) for s, f, n in parts for i in range(n)], "part int, shard int"))
-    in_shards = picked.join(shard_of, "part").drop("part")
-    if all(n == 1 for _, _, n in parts):
+        visits = _to_lanes(users, n_lanes)
+    # the user's rows say which lane they come from
+    picked = _walk_lanes(visits, parted, users.count(), n_lanes, walk(k, all_of, found_in_lane), _PICKED + ", lane int")
+    in_shards = picked.join(F.broadcast(spark.createDataFrame(shard_of, "lane int, shard int")), "lane").drop("lane")
+    if all(lanes == 1 for *_, lanes in layout):
         return in_shards
     return ranked(in_shards.drop("rank"), k, ["user_id", "shard"])
 
 
-def pruned_topk(users: DataFrame, items: DataFrame, k: int, bucket_size: int = 75,
-                part_items: int = PART_ITEMS) -> DataFrame:
-    """The result of `topk`, skipping items too short to reach a user's k-th score.
+def pruned_topk(users: DataFrame, items: DataFrame, k: int, bucket_size: int = 75, part_items: int = PART_ITEMS,
+                focus: int = FOCUS) -> DataFrame:
+    """The result of `topk`, skipping items too short to reach a user's k-th score and, from the products over the `focus`
+    greatest coordinates of the user, those that point elsewhere (see `walk.by_length`).
 
-    Parts follow falling vector length. All users score the longest part first; its k-th score is
-    the bar a further part's greatest length must clear for the user to visit it.
+    Parts follow falling vector length, so a task that walks all of them prunes better with each. With several lanes all
+    users score the longest part first; its k-th score is the bar a lane's greatest length must clear for the user to
+    visit it, and what a lane reports.
     """
+    return _pruned(users, items, k, bucket_size, part_items, focus)
+
+
+def pruned_pairs(users: DataFrame, items: DataFrame, k: int, bucket_size: int = 75, part_items: int = PART_ITEMS,
+                 focus: int = FOCUS) -> DataFrame:
+    """(user_id, scored): how many items `pruned_topk` scores for each user."""
+    return _pruned(users, items, k, bucket_size, part_items, focus, count=True)
+
+
+def _pruned(users: DataFrame, items: DataFrame, k: int, bucket_size: int, part_items: int, focus: int,
+            count: bool = False) -> DataFrame:
     n_users, n_items = users.count(), items.count()
+    search = by_length(bucket_size, focus)
+    kernel, schema = (walk(k, search, scored_pairs), "user_id bigint, scored bigint") if count else (walk(k, search), _PICKED)
     measured = items.select("item_id", "vec", F.sqrt(length_sq(F.col("vec"))).alias("length"))
     n = max(1, ceil(n_items / part_items))
     if n == 1:
-        visits = users.select("user_id", "vec", F.lit(0).alias("part"), F.lit(-inf).alias("floor"))
-        parted = measured.select("item_id", "vec", F.lit(0).alias("part"))
-        picked = _in_cells(visits, parted, n_users, 1, _score_by_length(k, bucket_size), _PICKED)
-        return _merge(picked, k, 1)
+        return _walk_lanes(_to_lanes(users, 1), measured.select("item_id", "vec", F.lit(0).alias("lane"), F.lit(0).alias("part")),
+                           n_users, 1, kernel, schema)
 
     inner = measured.approxQuantile("length", [i / n for i in range(1, n)], 1.0 / (4 * n))
     splits = [-inf, *sorted(set(inner)), inf]
@@ -294,21 +245,27 @@ def pruned_topk(users: DataFrame, items: DataFrame, k: int, bucket_size: int = 7
     parted = banded.join(F.broadcast(spark.createDataFrame(layout, "band double, first int, m int")), "band").select(
         "item_id", "vec", (F.col("first") + F.pmod(F.xxhash64("item_id"), F.col("m"))).cast("int").alias("part"))
 
-    kernel = _score_by_length(k, bucket_size)
+    lanes = _lanes(len(tops), n_users, _cores(users))
+    if lanes == 1:
+        return _walk_lanes(_to_lanes(users, 1), _dealt(parted, 1), n_users, 1, kernel, schema)
     # k rows per user, read twice below
-    first = cut_lineage(_in_cells(
-        users.select("user_id", "vec", F.lit(0).alias("part"), F.lit(-inf).alias("floor")),
-        parted.where(F.col("part") == 0), n_users, 1, kernel, _PICKED))
+    longest = _dealt(parted.where(F.col("part") == 0), 1)
+    first = cut_lineage(_walk_lanes(_to_lanes(users, 1), longest, n_users, 1, walk(k, search)))
     bars = first.groupBy("user_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(-inf)).alias("floor"))
+    lanes = min(lanes, len(tops) - 1)
     reach = F.sqrt(length_sq(F.col("vec"))) * (1 + 1e-12)
-    # tops fall from part to part, so a user visits the first few parts; one row per part
-    later = F.broadcast(spark.createDataFrame([(i, float(t)) for i, t in enumerate(tops) if i], "part int, top double"))
+    # tops fall from part to part, so a lane's first part has its longest item; one row per lane
+    later = F.broadcast(spark.createDataFrame([(i, float(tops[i + 1])) for i in range(lanes)], "lane int, top double"))
     bound = F.col("top") * F.col("reach") + 10.0 ** -SCORE_DIGITS
     visits = (users.join(bars, "user_id").withColumn("reach", reach)
-              .join(later, F.isnan(bound) | (bound >= F.col("floor"))).select("user_id", "vec", "floor", "part"))
-    more = _in_cells(visits, parted.where(F.col("part") > 0), n_users, len(tops) - 1, kernel, _PICKED)
-    return _merge(first.unionByName(more), k, len(tops))
+              .join(later, F.isnan(bound) | (bound >= F.col("floor"))).select("user_id", "vec", "floor", "lane"))
+    more = _walk_lanes(visits, _dealt(parted.where(F.col("part") > 0), lanes, 1), n_users, lanes, kernel, schema)
+    if count:
+        # the longest part again, for its count alone
+        counted = _walk_lanes(_to_lanes(users, 1), longest, n_users, 1, kernel, schema)
+        return counted.unionByName(more).groupBy("user_id").agg(F.sum("scored").alias("scored"))
+    return _merge(first.unionByName(more), k, lanes + 1)
 
 
 def collect_lists(ranks: DataFrame, order: str = "descending", by: str = "user_id") -> DataFrame:

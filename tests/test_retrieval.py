@@ -109,14 +109,60 @@ def test_lists(model):
 
 
 def test_cells_are_repartitioned_once(model):
-    """The grouping reuses the explicit partitioning; no further shuffle of users or items."""
+    """Users and packed items meet in one shuffle; packing is the other."""
     users, items, *_ = model
     plan = retrieval.topk(users, items, 5)._jdf.queryExecution().executedPlan().toString()
-    cells = plan[plan.index("FlatMapCoGroupsInArrow"):]
-    assert cells.count("Exchange") == 3  # users, packed items, and packing itself
+    cells = plan[plan.index("MapInArrow"):]
+    assert cells.count("Exchange") == 2
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("lanes", [1, 3])
+@pytest.mark.parametrize("run", [retrieval.topk, retrieval.pruned_topk])
+def test_a_lane_walks_many_parts(model, monkeypatch, lanes, run):
+    monkeypatch.setattr(retrieval, "_lanes", lambda n_parts, n_users, cores: lanes)
+    users, items, *raw = model
+    assert picked(run(users, items, 7, part_items=20)) == exact(*raw, 7)
+
+
+def test_rows_to_merge_do_not_grow_with_parts(model, monkeypatch):
+    users, items, *_ = model
+    monkeypatch.setattr(retrieval, "_lanes", lambda n_parts, n_users, cores: 2)
+    merged = []
+    monkeypatch.setattr(retrieval, "_merge", lambda df, k, lanes: merged.append(df.count()) or df)
+    for part_items in (100, 10):
+        retrieval.topk(users, items, 7, part_items)
+    assert merged == [40 * 7 * 2] * 2
+
+
+def test_a_large_shard_has_lanes(model, monkeypatch):
+    monkeypatch.setattr(retrieval, "LANE_PARTS", 2)
+    users, items, user_ids, q, item_ids, v = model
+    sharded = items.withColumn("shard", F.when(F.col("item_id") % 10 == 0, 1).otherwise(0))
+    got = rows(retrieval.local_topk(users, sharded, 3, 40).select("shard", "user_id", "item_id", "rank"))
+    expected = [(s, *r) for s, at in ((0, item_ids % 10 != 0), (1, item_ids % 10 == 0)) for r in exact(user_ids, q, item_ids[at], v[at], 3)]
+    assert got == sorted(expected)
+
+
+@pytest.mark.parametrize("part_items", [retrieval.PART_ITEMS, 60])
+@pytest.mark.parametrize("focus", [0, 1, 3])
+def test_increments_do_not_change_the_result(model, focus, part_items):
+    users, items, *raw = model
+    assert picked(retrieval.pruned_topk(users, items, 7, 10, part_items, focus)) == exact(*raw, 7)
+
+
+def test_increments_score_fewer_pairs(spark):
+    """Vectors with few great coordinates: lengths alone cannot tell them apart."""
+    rng = np.random.default_rng(3)
+    q, v = rng.normal(size=(50, 10)) ** 3, rng.normal(size=(2000, 10)) ** 3
+    users, items = frame(spark, range(50), q, "user_id"), frame(spark, range(2000), v, "item_id")
+    scored = {focus: sum(n for _, n in rows(retrieval.pruned_pairs(users, items, 10, focus=focus))) for focus in (0, 3, 5)}
+    assert scored[3] < scored[0] / 2 and scored[5] <= scored[3] and scored[0] < 50 * 2000
+    assert picked(retrieval.pruned_topk(users, items, 10)) == exact(range(50), q, range(2000), v, 10)
+    many = sum(n for _, n in rows(retrieval.pruned_pairs(users, items, 10, part_items=300)))
+    assert 50 * 10 <= many < scored[0]
+
+
 @pytest.mark.parametrize("part_items", [30, 1000])
 def test_infinite_and_undefined_scores(spark, part_items):
     users = spark.createDataFrame([(1, [1.0, 0.0])], "user_id bigint, vec array<double>")
