@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,33 +153,61 @@ def item_set(params: DataFrame, updates: DataFrame) -> DataFrame:
 Update = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def _fold_sorted(update: Update) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Fold rows that arrive sorted by (id, segment); holds one vector at a time."""
+def _fold_runs(update: Update, starts: np.ndarray, vecs: np.ndarray) -> np.ndarray:
+    """One vector per run of rows, a run beginning where `starts` is true: neighbours are combined until one is left."""
+    while True:
+        first = np.nonzero(starts)[0]
+        place = np.arange(len(starts)) - first[np.cumsum(starts) - 1]
+        keep = place % 2 == 0
+        left = np.nonzero(keep[:-1] & ~starts[1:])[0]
+        if not len(left):
+            return vecs
+        # components first, so that an update may name them
+        vecs[left] = np.asarray(update(vecs[left].T, vecs[left + 1].T)).T
+        starts, vecs = starts[keep], vecs[keep]
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, acc = None, None
+
+def _fold_sorted(update: Update) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Fold rows that arrive sorted by (id, segment); holds one batch and one vector more."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the run that the next batch may go on with: id, segment, vector
         for batch in batches:
-            done = []
-            for id_, segment, vec in zip(batch["id"], batch[SEGMENT], batch["vec"]):
-                if (id_, segment) == current:
-                    acc = update(acc, vec)
-                    continue
-                if current is not None:
-                    done.append((*current, acc))
-                current, acc = (id_, segment), vec
-            yield pd.DataFrame(done, columns=["id", SEGMENT, "vec"])
-        if current is not None:
-            yield pd.DataFrame([(*current, acc)], columns=["id", SEGMENT, "vec"])
+            if not batch.num_rows:
+                continue
+            vectors = batch.column("vec")
+            flat, lengths = vectors.flatten().to_numpy(zero_copy_only=False), vectors.value_lengths()
+            if vectors.null_count or len(lengths.unique()) != 1 or (last is not None and len(last[2]) != lengths[0].as_py()):
+                raise ValueError("vectors are null or of different lengths")
+            ids, segments = batch.column("id").to_numpy(zero_copy_only=False), batch.column(SEGMENT).to_numpy(zero_copy_only=False)
+            vecs = flat.reshape(len(ids), -1).astype(float)
+            if last is not None:
+                ids, segments = np.concatenate([[last[0]], ids]), np.concatenate([[last[1]], segments])
+                vecs = np.concatenate([last[2][None, :], vecs])
+            starts = np.concatenate([[True], (ids[1:] != ids[:-1]) | (segments[1:] != segments[:-1])])
+            done = _fold_runs(update, starts, vecs)
+            ids, segments = ids[starts], segments[starts]
+            last = ids[-1], segments[-1], done[-1]
+            yield _folded(ids[:-1], segments[:-1], done[:-1])
+        if last is not None:
+            yield _folded(np.array([last[0]]), np.array([last[1]]), last[2][None, :])
 
     return fold
 
 
+def _folded(ids: np.ndarray, segments: np.ndarray, vecs: np.ndarray) -> pa.RecordBatch:
+    offsets = np.arange(len(vecs) + 1, dtype=np.int32) * vecs.shape[1]
+    return pa.record_batch({"id": pa.array(ids, pa.int64()), SEGMENT: pa.array(segments, pa.int32()),
+                            "vec": pa.ListArray.from_arrays(offsets, vecs.ravel())})
+
+
 def param_fold(pushes: DataFrame, update: Update, init: Init | None = None,
                rows_per_segment: int = ROWS_PER_SEGMENT) -> DataFrame:
     """State of each key after folding its pushes (dest, vec, seq) in order with `update`.
 
-    `update(old, delta)` must be associative: a key's rows are folded in segments and the partial
-    results are folded again, so that a hot key is not left to one task. Use
+    `update(old, delta)` must be associative: a key's rows are folded in segments and the partial results are folded
+    again, so that a hot key is not left to one task. Inside a task neighbours are combined, many at once: `update` gets
+    arrays whose first axis is the vector's, so `old[0]` holds the first components. Vectors are of one length, ids not null. Use
     `streaming.params.keyed_server` for an update that is not. With `init` the fold starts from the
     key's initial vector, without from the first push.
     """
@@ -187,14 +215,14 @@ def param_fold(pushes: DataFrame, update: Update, init: Init | None = None,
     schema = f"id bigint, {SEGMENT} int, vec array<double>"
     fold = _fold_sorted(update)
     part = (cut.repartition("id", SEGMENT).sortWithinPartitions("id", SEGMENT, "seq")
-            .mapInPandas(fold, schema))
+            .mapInArrow(fold, schema))
     if init is not None:
         seeds = pushes.select(F.col("dest").alias("id")).distinct()
         part = part.unionByName(seeds.select("id", F.lit(-1).alias(SEGMENT), init(F.col("id")).alias("vec")))
     # at most one row per key and segment is left
     whole = part.withColumn("_order", F.col(SEGMENT)).withColumn(SEGMENT, F.lit(0))
     return (whole.repartition("id").sortWithinPartitions("id", "_order").drop("_order")
-            .mapInPandas(fold, schema).select("id", "vec"))
+            .mapInArrow(fold, schema).select("id", "vec"))
 
 
 def sync_answers(messages: DataFrame, dim: int, init: Init,

@@ -128,15 +128,21 @@ def pairs(source: str, items: str, rate: int, tag: str) -> str:
   JOIN idx{tag} idx ON idx.idx = d.k WHERE j = 0 OR d.k <> own)"""
 
 
-def step(source: str, users: str, items: str, tag: str) -> str:
-    """CTEs u{tag} and i{tag}: users and items (id, vec) after training on `source`."""
+def step(source: str, users: str, items: str, tag: str, user_floats: bool = False) -> str:
+    """CTEs u{tag} and i{tag}: users and items (id, vec) after training on `source`. With `user_floats` what a request
+    adds to its user is a float."""
     sums_u = ", ".join(f"sum(e * iv[{c}])" for c in range(1, 11))
     sums_i = ", ".join(f"sum(e * uv[{c}])" for c in range(1, 11))
+    of_users = f"SELECT user_id AS id, [{sums_u}] AS d FROM term{tag} GROUP BY 1"
+    if user_floats:
+        each = ", ".join(f"sum(e * iv[{c}])::FLOAT::DOUBLE AS d{c}" for c in range(1, 11))
+        sums = ", ".join(f"sum(d{c})" for c in range(1, 11))
+        of_users = f"SELECT user_id AS id, [{sums}] AS d FROM (SELECT user_id, eval_id, {each} FROM term{tag} GROUP BY 1, 2) GROUP BY 1"
     add = lambda a, b: "[" + ", ".join(f"coalesce({a}[{c}], 0) + coalesce({b}[{c}], 0)" for c in range(1, 11)) + "]"
     return f"""{pairs(source, items, 9, tag)},
- term{tag} AS (SELECT user_id, item_id, u.vec AS uv, i.vec AS iv, 0.4 * (rating - list_dot_product(u.vec, i.vec)) AS e
+ term{tag} AS (SELECT eval_id, user_id, item_id, u.vec AS uv, i.vec AS iv, 0.4 * (rating - list_dot_product(u.vec, i.vec)) AS e
    FROM pair{tag} p JOIN {users} u ON u.id = p.user_id JOIN {items} i ON i.id = p.item_id),
- du{tag} AS (SELECT user_id AS id, [{sums_u}] AS d FROM term{tag} GROUP BY 1),
+ du{tag} AS ({of_users}),
  di{tag} AS (SELECT item_id AS id, [{sums_i}] AS d FROM term{tag} GROUP BY 1),
  u{tag} AS MATERIALIZED (SELECT id, {add('a.vec', 'b.d')} AS vec FROM {users} a LEFT JOIN du{tag} b USING (id)),
  i{tag} AS MATERIALIZED (SELECT id, {add('a.vec', 'b.d')} AS vec FROM {items} a LEFT JOIN di{tag} b USING (id))"""
@@ -301,6 +307,19 @@ SELECT *, 'user' AS side FROM ({unpack('u1', 'id', 10)}) UNION ALL SELECT *, 'it
  a AS (SELECT event_id, [b0, b1, 0.0] AS seen, {init3('user_id')} AS start FROM e JOIN c USING (user_id, wk))
 {unpack('a', 'event_id', value='start[p] + seen[p]')}""",
 }
+WIDE_USERS = f"u0 AS MATERIALIZED (SELECT id, {vec('id', 10, -1.0, 1.0, 1)} AS vec FROM (SELECT DISTINCT user_id AS id FROM req))"
+WIDE_ITEMS = f"i0 AS MATERIALIZED (SELECT id, {vec('id', 10, -1.0, 1.0, 2)} AS vec FROM (SELECT DISTINCT item_id AS id FROM req))"
+ORACLES["sgd_step_float"] = f"""WITH {REQUESTS.replace('req AS (', 'req AS MATERIALIZED (')}, {WIDE_USERS}, {WIDE_ITEMS},
+ {step('req', 'u0', 'i0', '1', user_floats=True)}
+SELECT *, 'user' AS side FROM ({unpack('u1', 'id', 10, 7)}) UNION ALL SELECT *, 'item' FROM ({unpack('i1', 'id', 10, 7)})"""
+ORACLES["pruned_topk_lengths"] = ORACLES["pruned_topk"]
+ORACLES["worker_only_loop"] = f"""WITH e AS (SELECT event_id, user_id, value, floor(epoch(ts))::BIGINT // 604800 AS wk FROM events),
+ w AS (SELECT user_id, wk, sum(value) AS s0, 4 * count(*)::DOUBLE AS s1 FROM e GROUP BY 1, 2),
+ c AS (SELECT user_id, wk, coalesce(sum(s0) OVER o, 0) AS b0, coalesce(sum(s1) OVER o, 0) AS b1 FROM w
+       WINDOW o AS (PARTITION BY user_id ORDER BY wk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ a AS (SELECT event_id, shard, [b0, b1, 0.0] AS seen, {init3('user_id')} AS start
+       FROM e JOIN c USING (user_id, wk), (SELECT unnest(range(0, 4))::INTEGER AS shard))
+{unpack('a', 'event_id, shard', value='start[p] + seen[p]')}"""
 ORACLES["topic_roundtrip"] = ORACLES["message_decode"]
 ORACLES["pruned_topk_parts"] = ORACLES["pruned_topk"]
 ORACLES["pull_stream"] = ORACLES["pull_asof"]

@@ -160,10 +160,15 @@ def online_train_eval(requests: DataFrame, items: DataFrame | None, config: Fact
 
 
 def run_job(spark: SparkSession, interactions: str, report: str, config: FactorConfig, batch_seconds: int,
-            items: DataFrame | None = None) -> DataFrame:
-    """The job from files to a file: `ts,user,item` lines in, `slot,ndcg,n` lines out; also gives the report."""
+            items: DataFrame | None = None, algorithm: str = "factorisation") -> DataFrame:
+    """The job from files to a file: `ts,user,item` lines in, `slot,ndcg,n` lines out; also gives the report.
+
+    `algorithm` names one of ALGORITHMS: `factorisation` evaluates and trains, `untrained` evaluates the initial vectors.
+    """
+    if algorithm not in ALGORITHMS:
+        raise ValueError(f"algorithm not supported: {algorithm}")
     requests = dense_ids(read_interactions(spark, interactions), ["ts", "user_id", "item_id"])
-    result = staged(online_train_eval(requests, items, config, batch_seconds), "report")
+    result = staged(ALGORITHMS[algorithm](requests, items, config, batch_seconds), "report")
     save_report(result, report)
     return result
 
@@ -177,3 +182,10 @@ def evaluate_fixed(requests: DataFrame, config: FactorConfig) -> DataFrame:
     catalog = items.select(F.col("id").alias("item_id"), "vec")
     ranks = pruned_topk(queries, catalog, config.k, config.bucket_size) if config.pruned else topk(queries, catalog, config.k)
     return slot_report(target_gain(requests, ranks, config.order), config.slot_seconds)
+
+
+#: (requests, items, config, batch_seconds) to (time_slot, ndcg, n).
+ALGORITHMS = {
+    "factorisation": online_train_eval,
+    "untrained": lambda requests, items, config, batch_seconds: evaluate_fixed(requests, config),
+}

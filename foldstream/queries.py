@@ -14,7 +14,7 @@ from foldstream.functions import metrics, vectors
 from foldstream.operators import evaluation, params, retrieval, routing, training
 from foldstream.operators.segments import SEGMENT, with_segment
 from foldstream.plans.loop import ParameterLoop, over_slots
-from foldstream.plans.store import ParamTable, read_batches
+from foldstream.plans.store import ParamTable, read_batches, store_options
 from foldstream.plans import train_eval
 from foldstream.plans.train_eval import FactorConfig, evaluate_fixed
 from foldstream.session import scratch_path, staged
@@ -368,6 +368,12 @@ def pruned_topk_parts(spark, sf):
     return retrieval.pruned_topk(t.query_vectors(spark, sf), t.item_vectors(spark, sf), CONFIG.k, part_items=40)
 
 
+@query
+def pruned_topk_lengths(spark, sf):
+    """Lengths alone decide what is scored."""
+    return retrieval.pruned_topk(t.query_vectors(spark, sf), t.item_vectors(spark, sf), CONFIG.k, focus=0)
+
+
 @query
 def shard_topk(spark, sf):
     users = _customers(spark, sf).withColumn("shard", (F.col("user_id") % N_SHARDS).cast("int"))
@@ -383,9 +389,9 @@ def _targets(spark, sf):
 
 @query
 def ndcg_single(spark, sf):
-    lists = retrieval.collect_lists(global_topk(spark, sf))
-    return _targets(spark, sf).join(lists, "user_id").select(
-        "user_id", "item_id", F.round(metrics.ndcg_single(F.col("topk"), F.col("item_id")), 9).alias("ndcg"))
+    pair = F.struct("user_id", "item_id")
+    gains = evaluation.target_gain(_targets(spark, sf).withColumn("eval_id", pair), global_topk(spark, sf))
+    return _round(gains.select("eval_id.user_id", "eval_id.item_id", "ndcg"), 9, "ndcg")
 
 
 @query
@@ -513,6 +519,28 @@ def sgd_step(spark, sf):
             .unionByName(_fields(new_items, "id").withColumn("side", F.lit("item"))))
 
 
+@query
+def sgd_step_float(spark, sf):
+    """The step of the store that rounds what a request adds to its user; vectors wide enough to show it."""
+    asked = t.requests(spark, sf)
+    users = asked.select(F.col("user_id").alias("id")).distinct().select("id", CONFIG.user_init(F.col("id")).alias("vec"))
+    precision = store_options("kafkaredis")["user_precision"]
+    new_users, new_items = training.sgd_step(asked, users, _catalog(asked, CONFIG), CONFIG.dim, CONFIG.learning_rate, CONFIG.negatives,
+                                             user_precision=precision)
+    return (_fields(new_users, "id", digits=7).withColumn("side", F.lit("user"))
+            .unionByName(_fields(new_items, "id", digits=7).withColumn("side", F.lit("item"))))
+
+
+@query
+def sgd_strata(spark, sf):
+    """One pass over all requests, each step after the one before it."""
+    asked = t.requests(spark, sf)
+    users = asked.select(F.col("user_id").alias("id")).distinct().select("id", TRAIN.user_init(F.col("id")).alias("vec"))
+    new_users, new_items = training.sgd_pass(asked, users, _catalog(asked, TRAIN), TRAIN.learning_rate, TRAIN.negatives)
+    return (_fields(new_users, "id").withColumn("side", F.lit("user"))
+            .unionByName(_fields(new_items, "id").withColumn("side", F.lit("item"))))
+
+
 @query
 def prequential(spark, sf):
     asked = t.requests(spark, sf)
@@ -555,6 +583,23 @@ def param_loop(spark, sf):
     return _fields(read_batches(spark, loop.out, n), "event_id")
 
 
+@query
+def worker_only_loop(spark, sf):
+    """Workers alone: an event goes to every shard; its owner adds [value, 0, 0], each shard [0, 1, 0]."""
+    events = t.table(spark, sf, "events").select("event_id", "user_id", "value", t.epoch("ts").alias("ts"))
+
+    def step(answered):
+        own = F.when(F.pmod("event_id", F.lit(N_SHARDS)) == F.col("shard"), F.col("value")).otherwise(0.0)
+        pushes = answered.select(F.col("user_id").alias("id"), F.array(own, F.lit(1.0), F.lit(0.0)).alias("vec"))
+        return params.vector_sum(pushes, "id", DIM), answered.select("event_id", "shard", "vec")
+
+    root = scratch_path(spark, "worker-loop")
+    table = ParamTable(spark, f"{root}/users", DIM, compact_every=2).create()
+    loop = ParameterLoop(table, init3, step, f"{root}/out", shards=N_SHARDS)
+    n = over_slots(loop.process, events, WEEK)
+    return _fields(read_batches(spark, loop.out, n), "event_id", "shard")
+
+
 # --- streams --------------------------------------------------------------------------------
 
 
@@ -706,17 +751,17 @@ def topic_latest(spark, sf):
 
 @query
 def param_stream(spark, sf):
-    """State of every key after the stream, from a streaming aggregate."""
+    """State of every key after the stream, from a streaming aggregate that reports changed keys only."""
     out, state = scratch_path(spark, "params"), scratch_path(spark, "state")
 
     def writer(messages):
         current = stream_params.param_state(messages, DIM, init3)
-        # the full state replaces the one before; it has one row per key
-        save = lambda batch, _: batch.write.mode("overwrite").parquet(out)
-        return each_batch(current, save, state).outputMode("complete")
+        save = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        return each_batch(current, save, state).outputMode("update")
 
     _feed(spark, sf, writer)
-    return _fields(spark.read.parquet(out), "id")
+    reported = spark.read.schema("id bigint, vec array<double>, batch bigint").parquet(out)
+    return _fields(reported.groupBy("id").agg(F.max_by("vec", "batch").alias("vec")), "id")
 
 
 @query
