@@ -293,11 +293,15 @@ def nearest(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_
     found = (visits.select(*cell, "_a", "_b", "_vec").groupBy(*cell)
              .cogroup(cells.select(*cell, "_vec", "_ids").groupBy(*cell))
              .applyInArrow(_score(k + 1, how.query_rows), "_a long, _b int, _found array<struct<score:double,id:long>>"))
-    best = found.groupBy("_a", "_b").agg(F.flatten(F.collect_list("_found")).alias("_found"))  # `probes` times parts, k + 1 each
+    # `probes` times parts, k + 1 each; sorted by id, what several lists found stands side by side
+    by_id = F.array_sort(F.transform(F.flatten(F.collect_list("_found")), lambda x: F.struct(x["id"].alias("id"), (-x["score"]).alias("minus"))))
+    merged = found.groupBy("_a", "_b").agg(by_id.alias("_by_id"))
+    once = F.filter("_by_id", lambda x, i: (i == 0) | (F.get("_by_id", i - 1)["id"] != x["id"]))
+    # nearest first, ties to the smaller id; one more than asked for, as the query itself may be among them
+    best = merged.select("_a", "_b", F.slice(F.array_sort(
+        F.transform(once, lambda x: F.struct(x["minus"].alias("minus"), x["id"].alias("id")))), 1, k + 1).alias("_best"))
     result = queries.join(best, ["_a", "_b"])
-    other = F.filter(F.array_distinct("_found"), lambda x: x["id"] != F.col("_id"))
-    # nearest first, ties to the smaller id
-    first = F.slice(F.array_sort(F.transform(other, lambda x: F.struct((-x["score"]).alias("minus"), x["id"].alias("id")))), 1, k)
+    first = F.slice(F.filter("_best", lambda x: x["id"] != F.col("_id")), 1, k)
     return (result.select("_id", F.posexplode(first).alias("_at", "_one"))
             .select(F.col("_id").alias("query_id"), (F.col("_at") + 1).cast("int").alias("rank"), F.col("_one.id").alias("vec_id"),
                     (-F.col("_one.minus")).alias("score")))
