@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldstream.llm.common import text_udf
+from foldstream.llm.common import text_udf, worker_tables
 
 #: Texts with more characters are cut into pieces one by one.
 LONG_TEXT = 1 << 20
@@ -349,18 +349,9 @@ class Codec:
         return {"n_tokens": n, "ids_sha256": ids_sha.hexdigest(), "decoded_sha256": text_sha.hexdigest()}
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def _codec(ranks: dict[bytes, int], name: str, pattern: str) -> Codec:
     """One codec per worker process and vocabulary, so that its tables are kept from batch to batch."""
-    import foldstream.llm.bpe as here
-
-    kept = here._codecs
-    if (name, pattern) not in kept:
-        kept.clear()
-        kept[name, pattern] = Codec(ranks, pattern)
-    return kept[name, pattern]
+    return worker_tables((name, pattern), lambda: Codec(ranks, pattern))
 
 
 DIGEST = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -376,7 +367,7 @@ def encode_digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_c
     """All columns and a struct `into`: n_tokens, ids_sha256, decoded_sha256. No shuffle."""
     codec = _shared(docs, ranks, pattern)
     udf = text_udf(lambda texts: [codec().digest(t.decode("utf-8", "replace")) for t in texts],
-                   "struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>", DIGEST)
+                   "struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>", DIGEST, keeps_tables=True)
     return docs.select("*", udf(F.col(f"`{text_col}`")).alias(into))
 
 
@@ -384,7 +375,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     """All columns and the token ids as an array of ints."""
     codec = _shared(docs, ranks, pattern)
     udf = text_udf(lambda texts: [codec().encode(t.decode("utf-8", "replace")) for t in texts],
-                   "array<int>", pa.list_(pa.int32()))
+                   "array<int>", pa.list_(pa.int32()), keeps_tables=True)
     return docs.select("*", udf(F.col(f"`{text_col}`")).alias(into))
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import ctypes
+import gc
+import sys
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from contextlib import contextmanager
+from types import ModuleType
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,13 +61,47 @@ def small_or_not(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def text_udf(fn: Callable[[list[bytes]], Iterable], returns: str, arrow_type: pa.DataType):
+def _held() -> dict[Hashable, Any]:
+    """What this process keeps from task to task. Functions come with each task anew, so their own module can't keep it."""
+    name = "_foldstream_worker_tables"
+    if name not in sys.modules:
+        sys.modules[name] = ModuleType(name)
+        sys.modules[name].tables = {}
+    return sys.modules[name].tables
+
+
+def release_tables() -> None:
+    """Give the memory of kept tables back to the system."""
+    held = _held()
+    if not held:
+        return
+    held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def worker_tables(key: Hashable, make: Callable[[], Any]) -> Any:
+    """Tables that are costly to build, kept in a worker process: those of one key at a time."""
+    held = _held()
+    if key not in held:
+        release_tables()
+        held[key] = make()
+    return held[key]
+
+
+def text_udf(fn: Callable[[list[bytes]], Iterable], returns: str, arrow_type: pa.DataType, keeps_tables: bool = False):
     """Column function over a text column cast to binary.
 
     `fn` gets a list of texts (null as an empty text), some at a time so that few are held twice, and gives one value
-    each. Marked as non-deterministic so that Spark never evaluates it twice for one row.
+    each. Marked as non-deterministic so that Spark never evaluates it twice for one row. Spark hands a worker process from
+    job to job: unless `fn` itself uses `worker_tables`, what an operator before kept there goes first.
     """
     def run(texts: pa.Array) -> pa.Array:
+        if not keeps_tables:
+            release_tables()
         done = []
         for at in range(0, len(texts), TEXTS_AT_ONCE):
             done += fn([b or b"" for b in texts.slice(at, TEXTS_AT_ONCE).to_pylist()])

@@ -3,13 +3,14 @@ import random
 import struct
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_data import docs, no_docs, prose
 
-from foldstream.llm import bpe
+from foldstream.llm import bpe, common
 
 RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 PATTERN = public_tokenizers.PATTERN
@@ -74,3 +75,23 @@ def test_awkward_rows(spark):
     back = bpe.decode(bpe.encode(docs(spark), RANKS, PATTERN), RANKS, PATTERN, into="again")
     assert all(r["again"] == (r["text"] or "") for r in back.collect())
     assert bpe.encode_digest(no_docs(spark), RANKS, PATTERN).count() == 0
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    made = []
+
+    def tables(key):
+        return common.worker_tables(key, lambda: made.append(key) or [key])
+
+    try:
+        assert tables("a") is tables("a") and made == ["a"]
+        tables("b")
+        assert list(common._held()) == ["b"]
+        keeping = common.text_udf(lambda texts: [len(t) for t in texts], "long", pa.int64(), keeps_tables=True)
+        keeping.__closure__[0].cell_contents.func(pa.array([b"x", None]))
+        assert list(common._held()) == ["b"]
+        other = common.text_udf(lambda texts: [len(t) for t in texts], "long", pa.int64())
+        assert other.__closure__[0].cell_contents.func(pa.array([b"x", None])).to_pylist() == [1, 0]
+        assert not common._held()
+    finally:
+        common.release_tables()
