@@ -3,7 +3,7 @@ import pytest
 from table_rows import rows
 from pyspark.sql import functions as F
 
-from foldstream.operators import retrieval
+from foldstream.operators import retrieval, walk
 
 VECTORS = "array<double>"
 
@@ -179,3 +179,29 @@ def test_infinite_and_undefined_scores(spark, part_items):
         undefined = spark.createDataFrame([(0, [0.0, float("inf")])] + finite[1:], schema)
         with pytest.raises(Exception, match="not a number"):
             fn(users, undefined, 3, part_items=part_items).collect()
+
+
+@pytest.mark.parametrize("k", [3, 40])
+def test_boxes_rule_out_items_and_change_nothing(k):
+    rng = np.random.default_rng(11)
+    q, found = rng.uniform(-1, 1, (300, 3)), []
+    parts = [(rng.permutation(4000) + 4000 * i, np.round(rng.uniform(-1, 1, (4000, 3)), 1 + i)) for i in range(3)]
+    for search in (walk.all_of, lambda best, ids, v: walk._all_pairs(best, np.arange(len(best.ids)), ids, v)):
+        best = walk.Best(np.arange(300), q, np.full(300, -np.inf), k)
+        for ids, v in parts:
+            search(best, ids, v)
+        found.append(best)
+    boxes, pairs = found
+    assert (boxes.top_ids == pairs.top_ids).all() and (boxes.top == pairs.top).all()
+    assert pairs.scored.sum() == 300 * 12_000 and boxes.scored.sum() < pairs.scored.sum() / 2
+
+
+@pytest.mark.parametrize("value", [np.inf, 1e200])
+def test_boxes_leave_endless_scores_to_scoring(value):
+    rng = np.random.default_rng(12)
+    q, v = rng.uniform(0.1, 1, (20, 4)), rng.uniform(0, 1, (2000, 4))
+    v[7, 2] = value
+    q[3] *= 1e200
+    best = walk.Best(np.arange(20), q, np.full(20, -np.inf), 2)
+    walk.all_of(best, np.arange(2000), v)
+    assert (best.top_ids[:, 0] == 7).all() and np.isinf(best.top[3, 0])
