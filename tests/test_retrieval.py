@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from table_rows import rows
@@ -205,3 +207,15 @@ def test_boxes_leave_endless_scores_to_scoring(value):
     best = walk.Best(np.arange(20), q, np.full(20, -np.inf), 2)
     walk.all_of(best, np.arange(2000), v)
     assert (best.top_ids[:, 0] == 7).all() and np.isinf(best.top[3, 0])
+
+
+def test_candidates_are_scored_in_slices():
+    rng = np.random.default_rng(13)
+    best = walk.Best(np.arange(5000), rng.normal(size=(5000, 64)), np.full(5000, -np.inf), 10)
+    v = rng.normal(size=(600, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    tracemalloc.start()
+    walk.by_length(75, 5)(best, np.arange(600), v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # one copy of both vectors for each pair of a bucket: 384e6
