@@ -33,9 +33,11 @@ from foldstream.llm.common import small_or_not, text_udf
 UNKNOWN = "und"
 #: A longer run of letters, as in scripts without spaces, counts as several words of at most so many letters.
 MOST_LETTERS = 40
-#: Numbers that `re` counts as word characters though they are no digits: fractions, powers, Roman and circled numbers.
-_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]{{1,{MOST_LETTERS}}}")
+#: Numbers that `re` counts as word characters though they are no digits: fractions, powers, Roman and circled numbers. A pattern
+#: that names them all is slow, so texts that have one are cut at them beforehand.
+_NUMBERS = frozenset(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_CUT = {ord(c): " " for c in _NUMBERS}
+_LETTERS = re.compile(rf"[^\W\d_]{{1,{MOST_LETTERS}}}")
 #: Words of a block; a document is a row of blocks.
 BLOCK = 64
 #: Distinct words whose scores a worker remembers.
@@ -59,7 +61,10 @@ class Training:
 
 
 def words(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    small = text.lower()
+    if not small.isascii() and not _NUMBERS.isdisjoint(small):
+        small = small.translate(_CUT)
+    return _LETTERS.findall(small)
 
 
 class Buckets(dict):
@@ -118,10 +123,15 @@ def forward_backward(emit: np.ndarray, length: np.ndarray, trans: np.ndarray, st
     e = np.where(real[:, :, None], local[np.minimum(at, n - 1)], 1.0)  # (blocks, words, labels)
     t = np.exp(trans - trans.max())
     # over[b]: from the labels before the block to those of its last word; words past the end change nothing
+    # nothing is carried over a sequence's first block
+    later = np.nonzero(number)[0]
     over = np.broadcast_to(np.eye(k), (total, k, k)).copy()
-    for i in range(BLOCK):
-        step = _normal((over @ t) * e[:, i, None, :], (1, 2))
-        over = np.where(real[:, i, None, None], step, over)
+    if len(later):
+        held, real_later, e_later = over[later], real[later], e[later]
+        for i in range(BLOCK):
+            step = _normal((held @ t) * e_later[:, i, None, :], (1, 2))
+            held = np.where(real_later[:, i, None, None], step, held)
+        over[later] = held
     # before the first word stands no label: its start scores take the place of a transition
     ahead = np.empty((total, k))
     behind = np.ones((total, k))
@@ -206,12 +216,13 @@ class Field:
                 continue
             if not at:
                 memory.shrink()
-            known = memory.number.get
-            for word in found:
-                number = known(word)
-                if number is None:
-                    number = memory.add(word, self.scores(word))
-                ids.append(number)
+            numbers = list(map(memory.number.get, found))
+            if None in numbers:
+                for word in dict.fromkeys(found):
+                    if word not in memory.number:
+                        memory.add(word, self.scores(word))
+                numbers = list(map(memory.number.get, found))
+            ids += numbers
             at.append(i)
             length.append(len(found))
             if len(ids) > 60_000:
