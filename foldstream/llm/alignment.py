@@ -17,6 +17,7 @@ and no groups. Every row is a document of its own, also when it is repeated. Oth
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldstream.llm.common import small_or_not, staged
+from foldstream.llm.common import small_or_not, staged, worker_tables
 
 SPACE = "▁"
 #: Texts encoded together: so many, or so many bytes.
@@ -121,7 +122,8 @@ def links_of(a_group: np.ndarray, a_ids: np.ndarray, b_group: np.ndarray, b_ids:
     left = np.repeat(np.arange(len(ga)), width)
     right = np.arange(len(left)) - np.repeat(np.cumsum(width) - width, width) + begin[ga][left]
     doc, pair, times = doc_of_group[ga[left]], a[left] * b_size + b[right], times_a[left] * times_b[right]
-    by = np.lexsort((pair, doc))
+    # one key in place of two: it holds, since a batch has few documents
+    by = np.argsort(doc * (a_size * b_size) + pair, kind="stable")
     doc, pair, times = doc[by], pair[by], times[by]
     new = np.nonzero(np.r_[True, (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])])[0] if len(by) else np.empty(0, np.int64)
     return doc[new], pair[new], np.add.reduceat(times, new) if len(new) else times
@@ -203,15 +205,18 @@ def _pieces(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: `id_col`, n_a, n_b, n_groups, n_links, groups (`a1,a2|b1;a3|b2,b3`), and the different linked id
     pairs with how often they are linked here (pairs, times; see `pair_size`). The files, a few MB, are read here and sent."""
-    sent = docs.sparkSession.sparkContext.broadcast([Path(p).read_bytes() for p in (a_path, b_path)])
+    files = [Path(p).read_bytes() for p in (a_path, b_path)]
+    sent = docs.sparkSession.sparkContext.broadcast(files)
+    key = ("aligner", *(hashlib.sha256(f).hexdigest() for f in files))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a worker process goes from task to task: the vocabularies are read once in it
         aligner = None
         for batch in batches:
-            aligner = aligner or Aligner(ByteLevel(sent.value[0]), Pieces(sent.value[1]))
-            texts = batch.column(1)
-            for low, high in _pieces(texts.to_pylist()):
-                found = aligner.align(texts.slice(low, high - low).to_pylist())
+            aligner = aligner or worker_tables(key, lambda: Aligner(ByteLevel(sent.value[0]), Pieces(sent.value[1])))
+            texts = batch.column(1).to_pylist()
+            for low, high in _pieces(texts):
+                found = aligner.align(texts[low:high])
                 yield pa.record_batch([batch.column(0).slice(low, high - low), *found], names=["_id", *_NAMES])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("_text"))
