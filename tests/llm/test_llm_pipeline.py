@@ -53,7 +53,7 @@ def test_run_is_registered(spark, folder):
     out = __spark_entry__.queries()["pipeline"](spark, folder)
     assert out.count() > 30 and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
     names = [q for q in __spark_entry__.queries() if q.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def test_awkward_rows(spark, tmp_path):
