@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +43,8 @@ _LETTERS = re.compile(rf"[^\W\d_]{{1,{MOST_LETTERS}}}")
 BLOCK = 64
 #: Distinct words whose scores a worker remembers.
 MOST_WORDS = 200_000
+#: New words scored together.
+WORDS_AT_ONCE = 50_000
 
 
 @dataclass(frozen=True)
@@ -97,6 +100,42 @@ def features(word: str, buckets: Buckets, lexicons: list[frozenset[str]]) -> lis
     return found
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    return table
+
+
+_CRC = _crc_table()
+
+
+class _Letters:
+    """Letters of many words as UTF-8, for sums like `zlib.crc32` over stretches of letters of all words at once."""
+
+    def __init__(self, joined: str):
+        raw = np.frombuffer(joined.encode(), np.uint8)
+        self.first = np.nonzero((raw & 0xC0) != 0x80)[0]  # where a letter starts
+        self.size = np.diff(np.r_[self.first, len(raw)])
+        self.raw = raw
+        self.wide = int(self.size.max(initial=1))
+
+    @staticmethod
+    def start(mark: str) -> np.uint32:
+        """The state after a sign that stands before the letters."""
+        return np.uint32(zlib.crc32(mark.encode()) ^ 0xFFFFFFFF)
+
+    def add(self, state: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The states after one more letter each, given by place."""
+        first = self.first[at]
+        state = _CRC[(state ^ self.raw[first]) & 0xFF] ^ (state >> 8)
+        for i in range(1, self.wide):
+            more = np.nonzero(self.size[at] > i)[0]
+            held = state[more]
+            state[more] = _CRC[(held ^ self.raw[first[more] + i]) & 0xFF] ^ (held >> 8)
+        return state
+
+
 def _normal(x: np.ndarray, axes: tuple[int, ...]) -> np.ndarray:
     return x / np.maximum(x.sum(axis=axes, keepdims=True), 1e-300)
 
@@ -195,37 +234,72 @@ class Field:
     def scores(self, word: str) -> np.ndarray:
         return self.weights.take(features(word, self.buckets, self.lexicons), axis=0).sum(axis=0)
 
+    def scores_of(self, found: list[str]) -> np.ndarray:
+        """`scores` of different words, one row each, added up in the same order."""
+        n = np.array([len(w) for w in found], np.int64)
+        order = np.argsort(-n, kind="stable")  # words that have a feature more are the first ones
+        found, n = [found[i] for i in order], n[order]
+        letters, low = _Letters("<" + "><".join(found) + ">"), np.uint32(self.buckets.n - 1)
+        begin = np.cumsum(n + 2) - n - 1  # of a word's own letters
+        weights = self.weights
+
+        def of(state: np.ndarray) -> np.ndarray:
+            return weights.take((state ^ np.uint32(0xFFFFFFFF)) & low, axis=0)
+
+        def at_ends(mark: str, starts: np.ndarray, most: int) -> Iterator[np.ndarray]:
+            """States after each of up to `most` letters; shorter words stay at their last one."""
+            state = np.full(len(n), letters.start(mark))
+            for i in range(most):
+                has = int(np.searchsorted(-n, -i))  # those of more than i letters
+                state[:has] = letters.add(state[:has], starts[:has] + i)
+                yield state
+
+        prefixes = list(map(of, at_ends("p", begin, 4)))
+        total = prefixes[1] + prefixes[2]
+        total += prefixes[3]
+        for size in (2, 3, 4):
+            *_, last = at_ends("s", begin + np.maximum(n - size, 0), size)
+            total += of(last)
+        places = np.arange(int((n + 2).sum()))
+        one = letters.add(np.full(len(places), letters.start("")), places)
+        two = letters.add(one[:-1], places[1:])
+        three = letters.add(two[:-1], places[2:])
+        for grams, less in ((two, 1), (three, 0)):
+            for i in range(int(n[0]) + less):
+                has = int(np.searchsorted(-n, -i + less))
+                total[:has] += of(grams[begin[:has] - 1 + i])
+        total += weights.take([self.buckets.of(f"w{w}") for w in found], axis=0)
+        for i, lexicon in enumerate(self.lexicons):
+            own = [at for at, w in enumerate(found) if w in lexicon]
+            total[own] += weights[self.buckets.n + i]
+        out = np.empty_like(total)
+        out[order] = total
+        return out
+
     def label(self, texts: list[str], memory: Memory) -> list[tuple[str, float]]:
         """Language and score of each text."""
         out: list[tuple[str, float] | None] = [None] * len(texts)
-        at, length, ids = [], [], []
+        at, length, held = [], [], []
 
         def flush() -> None:
             if at:
-                chance, _ = forward_backward(memory.table[np.array(ids)], np.array(length), self.trans, self.start)
+                ids = memory.numbers(held, self.scores_of)
+                chance, _ = forward_backward(memory.table[ids], np.array(length), self.trans, self.start)
                 sums = np.add.reduceat(chance, np.r_[0, np.cumsum(length)[:-1]], axis=0)
                 for i, mean in zip(at, sums / np.array(length)[:, None], strict=True):
                     best = int(mean.argmax())
                     out[i] = (self.labels[best], float(min(max(mean[best], 0.0), 1.0)))
-            at.clear(), length.clear(), ids.clear()
+            at.clear(), length.clear(), held.clear()
 
         for i, text in enumerate(texts):
             found = words(text)
             if not found or not self.labels:
                 out[i] = (UNKNOWN, 0.0)
                 continue
-            if not at:
-                memory.shrink()
-            numbers = list(map(memory.number.get, found))
-            if None in numbers:
-                for word in dict.fromkeys(found):
-                    if word not in memory.number:
-                        memory.add(word, self.scores(word))
-                numbers = list(map(memory.number.get, found))
-            ids += numbers
+            held += found
             at.append(i)
             length.append(len(found))
-            if len(ids) > 60_000:
+            if len(held) > 60_000:
                 flush()
         flush()
         return out
@@ -238,16 +312,19 @@ class Memory:
         self.number: dict[str, int] = {}
         self.table = np.zeros((1 << 14, n_labels), np.float32)
 
-    def add(self, word: str, scores: np.ndarray) -> int:
-        at = self.number[word] = len(self.number)
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at] = scores
-        return at
-
-    def shrink(self) -> None:
+    def numbers(self, found: list[str], scores: Callable[[list[str]], np.ndarray]) -> np.ndarray:
+        """Rows of the table for words; those not met before are scored together."""
         if len(self.number) > MOST_WORDS:
             self.number.clear()
+        new = [w for w in set(found) if w not in self.number]
+        for low in range(0, len(new), WORDS_AT_ONCE):
+            some = new[low:low + WORDS_AT_ONCE]
+            first, upto = len(self.number), len(self.number) + len(some)
+            while upto > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[first:upto] = scores(some)
+            self.number.update(zip(some, range(first, upto)))
+        return np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
 
 
 def fit(texts: list[str], langs: list[str], how: Training = Training()) -> Field:
