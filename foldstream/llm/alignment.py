@@ -5,6 +5,7 @@ that are the groups between the places where both cut. Pointer jumping finds the
 points to the token of the other side that overlaps it and reaches farthest to the right, or to itself if none reaches
 farther; replacing each pointer by the pointer's pointer doubles the distance covered, until every token points to the last
 token of its component, whose place numbers the group. A link is a pair of token occurrences, one of each side, in one group.
+Neither tokenizer joins a space with what stands before it, so texts are cut there and each different stretch is worked on once.
 
 Per document the different pairs of ids come back with how often they are linked; a group's pairs are formed from its
 different ids, with their counts multiplied. Documents that hold a pair are counted by an aggregate over the documents'
@@ -18,9 +19,10 @@ and no groups. Every row is a document of its own, also when it is repeated. Oth
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -34,6 +36,13 @@ from foldstream.llm.common import small_or_not, staged, worker_tables
 SPACE = "▁"
 #: Texts encoded together: so many, or so many bytes.
 TEXTS_AT_ONCE, BYTES_AT_ONCE = 256, 1 << 20
+#: A stretch starts with the space in front of a word and ends before the next such space. Either tokenizer cuts there (see
+#: `Aligner`): the pattern of the one joins no other character with a space behind it, and no piece of the other holds both.
+_STRETCHES = re.compile(r"\s+\S+(?:[^\S ]\s*\S+)*(?:\s++\Z)?|\s+")
+#: Stretches that a worker remembers, and their letters; beyond either it forgets those that came up once, or all but the commonest half.
+MOST_STRETCHES, MOST_LETTERS = 150_000, 4_000_000
+#: Letters of new stretches that are encoded as one text.
+RUN_LETTERS = 8192
 
 
 # --- the two tokenizers ----------------------------------------------------------------------------------------
@@ -63,6 +72,11 @@ class ByteLevel:
         self.tokens = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.tokens[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        # the byte-level pattern alone: it takes a space together with what follows, never with what stands before it
+        own = json.loads(file)
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.cuts_before_space = (own["normalizer"] is None and plain.items() <= (own["pre_tokenizer"] or {}).items()
+                                  and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] for x in own["added_tokens"]))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -78,6 +92,9 @@ class Pieces:
         names = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
         self.tokens = [bytes([int(n[1:-1], 16)]) if self.model.is_byte(i) else n.replace(SPACE, " ").encode()
                        for i, n in enumerate(names)]
+        # pieces hold a space at their start only, and the texts are taken as they are: a space put in front, no other change
+        self.cuts_before_space = (not any(SPACE in n.lstrip(SPACE) for n in names)
+                                  and self.model.encode(" a  b ", out_type=str) == self.model.encode(" a", out_type=str) + self.model.encode(" b ", out_type=str))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
@@ -105,6 +122,11 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(np.r_[0, np.cumsum(values)][bounds])
 
 
+def _ranges(begin: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """All places of stretches that begin there and are so long, one stretch after the other."""
+    return np.arange(int(width.sum())) + np.repeat(begin - (np.cumsum(width) - width), width)
+
+
 def _distinct(group: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, id, count) of the different ids of each group."""
     key, count = np.unique(group * size + ids, return_counts=True)
@@ -134,7 +156,12 @@ _NAMES = [c.split()[0] for c in ALIGNED.split(", ")]
 
 
 class Aligner:
-    """Aligns lists of texts with one pair of tokenizers."""
+    """Aligns lists of texts with one pair of tokenizers.
+
+    A text is the sequence of its stretches. Both sides cut between two stretches, so tokens, groups and links of a text are those
+    of its stretches, which are encoded and aligned once and remembered. A vocabulary with pieces that hold a space behind another
+    character has whole texts as its stretches.
+    """
 
     def __init__(self, a: ByteLevel, b: Pieces):
         self.a, self.b = a, b
@@ -143,37 +170,137 @@ class Aligner:
         # an id as text, with what follows it: inside and at the end of its side of a group
         self.written = [np.array([f"{i}{end}" for i in range(n) for end in (",", mark)], object)
                         for n, mark in zip(self.size, "|;", strict=True)]
-
-    def encode(self, texts: list[bytes | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of either side; none for texts that are null, empty or do not come back byte for byte."""
-        there = [i for i, t in enumerate(texts) if t]
-        plain = [texts[i].decode("utf-8", "replace") for i in there]
-        out = ([[] for _ in texts], [[] for _ in texts])
-        ids = (self.a.encode([" " + t for t in plain]), self.b.encode(plain))
-        for i, x, y in zip(there, *ids, strict=True):
-            whole = b" " + texts[i]
-            if b"".join(map(self.a.tokens.__getitem__, x)) == whole == b"".join(map(self.b.tokens.__getitem__, y)):
-                out[0][i], out[1][i] = x, y
-        return out
-
-    def align(self, texts: list[bytes | None]) -> list[pa.Array]:
-        """One array per column of ALIGNED."""
-        encoded = self.encode(texts)
-        counts = [np.array([len(x) for x in side], np.int64) for side in encoded]
-        ids = [np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in zip(encoded, counts, strict=True)]
+        self.cuts = a.cuts_before_space and b.cuts_before_space
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}  # numbered in the order in which they stand here
+        self.letters = 0
+        self.texts: list[str] = []  # the groups of each stretch
+        self.counts = np.empty((0, 4), np.int64)  # tokens of a, of b, groups, links; -1 if it is not given back
+        self.begin = np.zeros(1, np.int64)  # where the pairs of each stretch begin
+        self.pairs, self.times = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.hits = np.empty(0, np.int64)  # how often each came up, halved at times
+
+    def _shrink(self) -> None:
+        """Forget what came up once, and the rarest until a half is left."""
+        size = np.fromiter(map(len, self.number), np.int64, len(self.number))
+        order = np.argsort(-self.hits, kind="stable")
+        fits = (np.arange(len(order)) < MOST_STRETCHES // 2) & (np.cumsum(size[order]) <= MOST_LETTERS // 2)
+        kept = np.sort(order[fits & (self.hits[order] > 1)])
+        names, width = list(self.number), np.diff(self.begin)[kept]
+        self.number = {names[i]: at for at, i in enumerate(kept.tolist())}
+        self.letters, self.texts = int(size[kept].sum()), [self.texts[i] for i in kept.tolist()]
+        at = _ranges(self.begin[kept], width)
+        self.pairs, self.times, self.counts, self.hits = self.pairs[at], self.times[at], self.counts[kept], self.hits[kept] // 2
+        self.begin = np.r_[0, np.cumsum(width)]
+
+    def _numbers(self, found: list[str]) -> np.ndarray:
+        """Numbers of stretches; those not met before are aligned together."""
+        if len(self.number) > MOST_STRETCHES or self.letters > MOST_LETTERS:
+            self._shrink()
+        new = [x for x in dict.fromkeys(found) if x not in self.number]
+        if new:
+            counts, texts, begin, pairs, times = self._align_stretches(new)
+            self.number.update(zip(new, range(len(self.texts), len(self.texts) + len(new))))
+            self.letters += sum(map(len, new))
+            self.texts += texts
+            self.counts = np.concatenate([self.counts, counts])
+            self.begin = np.concatenate([self.begin, self.begin[-1] + begin[1:]])
+            self.pairs, self.times = np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times])
+            self.hits = np.r_[self.hits, np.zeros(len(new), np.int64)]
+        numbers = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
+        self.hits += np.bincount(numbers, minlength=len(self.hits))
+        return numbers
+
+    def encode(self, stretches: list[str], letters: int = RUN_LETTERS) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Of either side the ids of all stretches and how many each has, none if it does not come back byte for byte; and which
+        do. All start with a space. Those that follow each other are encoded as one text of so many letters or so."""
+        runs = list(_runs(stretches, letters))
+        joined = ["".join(stretches[low:high]) for low, high in runs]
+        both = (self.a.encode(joined), self.b.encode([x[1:] for x in joined]))
+        ids, counts, kept = ([], []), ([], []), []
+        for (low, high), text, *found in zip(runs, joined, *both, strict=True):
+            own, plain = stretches[low:high], text.encode()
+            ends = np.cumsum([len(x) if len(plain) == len(text) else len(x.encode()) for x in own])
+            cut = [self._cut(side, x, plain, ends) for side, x in enumerate(found)]
+            whole = cut[0] is not None and cut[1] is not None
+            if not whole and len(own) > 1:
+                some_ids, some_counts, some_kept = self.encode(own, 0)  # one by one
+                kept.append(some_kept)
+                cut = list(zip(some_ids, some_counts, strict=True))
+            else:
+                kept.append(np.full(len(own), whole))
+                if not whole:
+                    cut = [(np.empty(0, np.int64), np.zeros(1, np.int64))] * 2
+            for side in (0, 1):
+                ids[side].append(cut[side][0])
+                counts[side].append(cut[side][1])
+        none = [np.empty(0, np.int64)]
+        return *([np.concatenate(x + none) for x in sides] for sides in (ids, counts)), np.concatenate(kept + [np.empty(0, bool)])
+
+    def _cut(self, side: int, ids: list[int], plain: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a run and how many each of its stretches has, from the bytes where they end."""
+        if b"".join(map((self.a, self.b)[side].tokens.__getitem__, ids)) != plain:
+            return None
+        ids = np.array(ids, np.int64)
+        upto = np.cumsum(self.bytes[side][ids])
+        count = np.searchsorted(upto, ends, side="right")
+        return (ids, np.diff(count, prepend=0)) if np.array_equal(upto[count - 1], ends) else None
+
+    def _align_stretches(self, stretches: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Counts, groups, where pairs begin, pairs and times of each stretch."""
+        ids, counts, kept = self.encode(stretches)
         group = group_numbers(*(np.cumsum(size[i]) for size, i in zip(self.bytes, ids, strict=True)))
         begin = [np.r_[0, np.cumsum(n)] for n in counts]
         n_groups = int(group[1][-1]) + 1 if len(group[1]) else 0
-        # groups of a document: up to the one of its last token
-        upto = np.r_[0, np.maximum.accumulate(np.where(counts[1] > 0, group[1][begin[1][1:] - 1] + 1, 0))] if n_groups else np.zeros(len(texts) + 1, np.int64)
+        # groups of a stretch: up to the one of its last token
+        upto = np.r_[0, np.maximum.accumulate(np.where(counts[1] > 0, group[1][begin[1][1:] - 1] + 1, 0))] if n_groups else np.zeros(len(stretches) + 1, np.int64)
         in_group = [np.bincount(g, minlength=n_groups) for g in group]
         n_links = _sums(in_group[0] * in_group[1], upto)
-        doc_of_group = np.repeat(np.arange(len(texts)), np.diff(upto))
-        doc, pair, times = links_of(group[0], ids[0], group[1], ids[1], doc_of_group, *self.size)
-        cut = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(cut, pa.array(v.astype(np.int64))) for v in (pair, times)]
-        return [*(pa.array(v.astype(np.int64)) for v in (*counts, np.diff(upto), n_links)),
-                pa.array(self._written(ids, group, in_group, begin), pa.string()), *lists]
+        of_group = np.repeat(np.arange(len(stretches)), np.diff(upto))
+        at, pair, times = links_of(group[0], ids[0], group[1], ids[1], of_group, *self.size)
+        numbers = np.stack([*counts, np.diff(upto), n_links], axis=1)
+        numbers[~kept] = -1
+        return numbers, self._written(ids, group, in_group, begin), np.searchsorted(at, np.arange(len(stretches) + 1)), pair, times
+
+    def align(self, texts: list[bytes | None]) -> list[pa.Array]:
+        """One array per column of ALIGNED."""
+        found: list[str] = []
+        n_found = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            if text:
+                plain = " " + text.decode("utf-8", "replace")
+                if plain.encode()[1:] == text:
+                    own = _STRETCHES.findall(plain) if self.cuts else [plain]
+                    found += own
+                    n_found[i] = len(own)
+        numbers = self._numbers(found)
+        doc = np.repeat(np.arange(len(texts)), n_found)
+        # texts with a stretch that is not given back have no tokens
+        lost = np.zeros(len(texts), bool)
+        lost[doc[self.counts[numbers, 0] < 0]] = True
+        there = ~lost[doc]
+        doc, numbers = doc[there], numbers[there]
+        bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+        written = list(map(self.texts.__getitem__, numbers.tolist()))
+        groups = [";".join(written[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        # each text's different stretches with how often they stand in it, then its different pairs
+        key, often = np.unique(doc * max(len(self.texts), 1) + numbers, return_counts=True)
+        doc_of, stretch = np.divmod(key, max(len(self.texts), 1))
+        width = self.begin[stretch + 1] - self.begin[stretch]
+        at = _ranges(self.begin[stretch], width)
+        # one key in place of two: it holds, since a batch has few documents
+        links = np.repeat(doc_of, width) * (self.size[0] * self.size[1]) + self.pairs[at]
+        times = self.times[at] * np.repeat(often, width)
+        by = np.argsort(links, kind="stable")
+        links, times = links[by], times[by]
+        new = np.nonzero(np.r_[True, links[1:] != links[:-1]])[0] if len(links) else np.empty(0, np.int64)
+        doc_of, pair = np.divmod(links[new], self.size[0] * self.size[1])
+        cut = pa.array(np.searchsorted(doc_of, np.arange(len(texts) + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(cut, pa.array(v.astype(np.int64))) for v in (pair, np.add.reduceat(times, new) if len(new) else times)]
+        counts = self.counts[numbers]
+        return [*(pa.array(_sums(counts[:, i], bounds)) for i in range(4)), pa.array(groups, pa.string()), *lists]
 
     def _written(self, ids: list, group: tuple, in_group: list, begin: list) -> list[str]:
         """Each document's groups as a1,a2|b1;a3|b2,b3."""
@@ -189,6 +316,19 @@ class Aligner:
         return ["".join(parts[x:y].tolist())[:-1] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
+def _runs(stretches: list[str], letters: int) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches that are encoded as one text, of `letters` letters or little more. A space at the end of a stretch would go
+    with the next one, so such a stretch ends its run."""
+    low, held = 0, 0
+    for i, x in enumerate(stretches):
+        held += len(x)
+        if held >= letters or x[-1].isspace():
+            yield low, i + 1
+            low, held = i + 1, 0
+    if low < len(stretches):
+        yield low, len(stretches)
+
+
 def _pieces(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
     """Bounds of stretches of texts that are few and short enough to be worked on together; a longer text stands alone."""
     low, held = 0, 0

@@ -111,3 +111,29 @@ def test_awkward_rows(spark):
     assert found.count() == docs(spark).count()
     assert {r["doc_id"]: r["n_groups"] for r in found.where("n_groups = 0").collect()} == {3: 0, 4: 0}
     assert alignment.align(no_docs(spark), A, B).collect() == []
+
+
+def test_stretches_are_encoded_once_and_as_in_whole_texts(monkeypatch):
+    """Words met before are not encoded again, also when most are forgotten in between; texts come out as if encoded whole."""
+    files = [Path(p).read_bytes() for p in (A, B)]
+    tables = alignment.Aligner(alignment.ByteLevel(files[0]), alignment.Pieces(files[1]))
+    assert tables.cuts
+    rng = random.Random(5)
+    signs = [" ", "  ", "\n", "\r\n", " \r", "\t", "a", "don't", "'ll", "12", "½", ".", ",", "　", "\x85", "\x1c", "▁", "日本", "<s>", "{", "́", "x"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))).encode() for _ in range(400)] + [None, b"", b" ", b"a ", b"\xff a", b"ok"]
+    whole = alignment.Aligner(alignment.ByteLevel(files[0]), alignment.Pieces(files[1]))
+    whole.cuts = False
+    expected = [c.to_pylist() for c in whole.align(texts)]
+    assert [c.to_pylist() for c in tables.align(texts)] == expected and 100 < sum(n > 0 for n in expected[0]) < 400
+    words = b"the cat and the dog"
+    first = [c.to_pylist() for c in tables.align([words])]
+    encoded = []
+    both = [c.to_pylist() for c in whole.align([words, words + b" ran"])]
+    plain = tables.encode
+    monkeypatch.setattr(tables, "encode", lambda some, *more: encoded.extend(some) or plain(some, *more))
+    assert [c.to_pylist() for c in tables.align([words, words + b" ran"])] == both
+    assert encoded == [" ran"]
+    monkeypatch.setattr(alignment, "MOST_STRETCHES", 8)
+    for _ in range(3):
+        assert [c.to_pylist() for c in tables.align([words])] == first and len(tables.number) <= 12
+    assert [c.to_pylist() for c in tables.align(texts)] == expected
