@@ -34,6 +34,7 @@ from foldstream.llm.common import text_udf, worker_tables
 #: Texts with more characters are cut into pieces one by one.
 LONG_TEXT = 1 << 20
 PIECES_AT_ONCE = 1 << 14
+POINTS_AT_ONCE = 1 << 12
 #: First bytes of characters beyond the first 65,536.
 FOUR_BYTES = bytes(range(0xF0, 0xF5))
 MOST_STATES = 80_000
@@ -222,8 +223,9 @@ def plain_pattern(pattern: str, most: int) -> str:
     """The pattern with its classes of letters, numbers and spaces written out as code points, for texts with code
     points up to `most`. Short lists of ranges are much faster to match."""
     newer = {c for a, b in NEWER for c in range(a, b + 1)}
-    points = [c for c in range(most + 1) if not 0xD800 <= c <= 0xDFFF and c not in newer]
-    every = "".join(map(chr, points))
+    # in blocks: a string for each of a million code points would take more memory than all tables of a worker
+    every = "".join(["".join([chr(c) for c in range(at, min(at + POINTS_AT_ONCE, most + 1)) if not 0xD800 <= c <= 0xDFFF and c not in newer])
+                     for at in range(0, most + 1, POINTS_AT_ONCE)])
 
     def ranges(prop: str) -> str:
         found = []

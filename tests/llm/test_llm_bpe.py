@@ -1,6 +1,8 @@
 import hashlib
 import random
 import struct
+import sys
+import tracemalloc
 
 import public_tokenizers
 import pyarrow as pa
@@ -95,3 +97,14 @@ def test_a_worker_keeps_the_tables_of_one_operator():
         assert not common._held()
     finally:
         common.release_tables()
+
+
+def test_patterns_take_little_memory():
+    """Building the classes of all code points held a string for each of them: 129 MB a worker."""
+    tracemalloc.start()
+    wide = bpe.plain_pattern(PATTERN, sys.maxunicode)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    letters = bpe.plain_pattern(r"\p{L}", 0xFFFF)
+    assert bpe.plain_pattern(r"\p{L}", bpe.POINTS_AT_ONCE * 16 - 1) == letters and len(wide) > len(letters)
