@@ -119,6 +119,22 @@ def test_cells_are_repartitioned_once(model):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_each_cell_has_a_task(spark, monkeypatch):
+    """No task walks two cells: by hash some had three of them and others none."""
+    monkeypatch.setattr(retrieval, "_chunks", lambda n_users, wanted: 7)
+    monkeypatch.setattr(retrieval, "_lanes", lambda n_parts, n_users, cores: 3)
+    vec = F.array(*(F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1000)) / 1000.0 for c in range(3)))
+    users = spark.range(400).select(F.col("id").alias("user_id"), vec.alias("vec"))
+    items = spark.range(300).select(F.col("id").alias("item_id"), vec.alias("vec"))
+    n_lanes = []
+    monkeypatch.setattr(retrieval, "_merge", lambda picked, k, lanes: n_lanes.append(lanes) or picked)
+    picked = retrieval.topk(users, items, 2, part_items=100).withColumn("task", F.spark_partition_id())
+    chunk = F.pmod(F.xxhash64("user_id"), F.lit(7))
+    found = picked.select("task", chunk.alias("chunk")).distinct().collect()
+    assert n_lanes == [3] and len({r["task"] for r in found}) == 21
+    assert max(sum(r["task"] == t for r in found) for t in range(21)) == 1
+
+
 @pytest.mark.parametrize("lanes", [1, 3])
 @pytest.mark.parametrize("run", [retrieval.topk, retrieval.pruned_topk])
 def test_a_lane_walks_many_parts(model, monkeypatch, lanes, run):
