@@ -106,3 +106,43 @@ def test_topic_of_a_folder(spark, tmp_path):
     assert folder_topic.commits(topic) == [0, 1] and listen("anew", "earliest") == [("",), ("a",), ("b\nc",), ("d",)]
     with pytest.raises(Exception, match="starting"):
         listen("wrong", "middle")
+
+
+def test_open_lists_share_a_state(spark, tmp_path, monkeypatch):
+    """Two buckets: lists of a bucket close in different micro-batches, one has no id, and an id that comes again starts anew."""
+    monkeypatch.setattr(keyed, "EVALUATION_BUCKETS", 2)
+    schema = "eval_id long, item_id long, ts long, topk array<struct<item_id:long,score:double>>"
+    big = (1 << 60) + 1  # a double would not hold it
+    ids = [None, big, *range(20)]
+    first = [(e, 7, 70, [(1, 1.0), (2, 3.0)]) for e in ids] + [(0, -1, -1, []), (0, 8, 80, [(5, 0.5)])]
+    second = [(e, -1, -1, [(3, 2.0)]) for e in ids if e != 1]
+
+    def writer(stream):
+        return to(tmp_path)(keyed.merge_evaluations_stream(stream, 2, 2))
+
+    with keyed.state_store(spark):
+        for data in (first, second):
+            arrive(spark, f"{tmp_path}/in", data, schema, writer, 1)
+    got = {}
+    for r in spark.read.parquet(f"{tmp_path}/out").collect():
+        got.setdefault(r["eval_id"], []).append((r["rank"], r["item_id"], r["score"], r["target_id"]))
+    assert set(got) == set(ids) - {1}
+    assert all(sorted(got[e]) == [(1, 2, 3.0, 7), (2, 3, 2.0, 7)] for e in got if e != 0)
+    assert len(got[0]) >= 2
+
+
+def test_one_call_for_the_lists_of_a_bucket(spark, tmp_path):
+    """So many calls of the state as there are buckets, not as there are lists."""
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(keyed._MergeParts):
+        def handleInputRows(self, key, rows, timerValues):
+            calls.add(1)
+            return super().handleInputRows(key, rows, timerValues)
+
+    schema = "eval_id long, item_id long, ts long, topk array<struct<item_id:long,score:double>>"
+    with pytest.MonkeyPatch.context() as patch, keyed.state_store(spark):
+        patch.setattr(keyed, "EVALUATION_BUCKETS", 3)
+        patch.setattr(keyed, "_MergeParts", Counted)
+        arrive(spark, f"{tmp_path}/in", [(e, 1, 1, [(e, 1.0)]) for e in range(200)], schema, lambda s: to(tmp_path)(keyed.merge_evaluations_stream(s, 1, 3)), 1)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 200 and calls.value == 3
