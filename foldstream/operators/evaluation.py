@@ -100,16 +100,14 @@ def target_gain(requests: DataFrame, ranks: DataFrame, order: str = "descending"
     """
     place = F.col("rank")
     if order == "ascending":
-        ranks = staged(ranks, "ranks")  # read twice, and dear to find
-        length = ranks.groupBy("user_id").agg(F.count(F.lit(1)).alias("length"))
-        ranks = ranks.join(length, "user_id")
+        # lists are dear to find: they are gone through once
+        ranks = ranks.withColumn("length", F.count(F.lit(1)).over(W.partitionBy("user_id")))
         place = F.col("length") - F.col("rank") + 1
     elif order != "descending":
         raise ValueError(f"order: {order}")
-    pair = F.struct("user_id", "item_id")
-    table = ranks.select(pair.alias("pair"), place.alias("position"))
-    found = lookup_join(requests.withColumn("pair", pair), table, "pair", "left")
     kept = [c for c in ("eval_id", "ts") if c in requests.columns]
+    asked = requests.select(*kept, "user_id", "item_id")  # a request is shuffled: no more than is needed
+    found = asked.join(ranks.select("user_id", "item_id", place.alias("position")), ["user_id", "item_id"], "left")
     return found.select(*kept, reciprocal_log_gain(F.col("position")).alias("ndcg"))
 
 
