@@ -1,6 +1,7 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from table_rows import rows
 from pyspark.sql import functions as F
@@ -235,3 +236,57 @@ def test_candidates_are_scored_in_slices():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100e6  # one copy of both vectors for each pair of a bucket: 384e6
+
+
+def test_rows_for_python_have_no_null_arrays(model):
+    """Spark 4.1 passes null arrays again for each row it writes to Python."""
+    users, items, *_ = model
+
+    def nulls(batches):
+        for b in batches:
+            yield pa.record_batch({"nulls": pa.array([b["vec"].null_count + b["entries"].null_count + b["entries"].field("ids").null_count])})
+
+    lanes = retrieval._walk_lanes(retrieval._to_lanes(users, 1), items.withColumns({"lane": F.lit(0), "part": F.lit(0)}), users.count(), 1, nulls, 7, "nulls long")
+    assert lanes.agg(F.sum("nulls")).collect() == [(0,)]
+
+
+def test_summary_moves_a_user_once(model, monkeypatch):
+    """However many parts there are, a user goes to a lane once; before, once to every part."""
+    users, items, *_ = model
+    n_items = items.count()
+    moved = users.sparkSession.sparkContext.accumulator(0)
+    inner = retrieval.walk
+
+    def counting(*args):
+        kernel = inner(*args)
+
+        def run(batches):
+            def seen():
+                for b in batches:
+                    moved.add(sum(p == retrieval.USERS for p in b["part"].to_pylist()))
+                    yield b
+            return kernel(seen())
+        return run
+
+    monkeypatch.setattr(retrieval, "walk", counting)
+    monkeypatch.setattr(retrieval, "_lanes", lambda n_parts, n_users, cores: 1)
+    got = retrieval.score_summary(users, items, 20).collect()
+    assert {r["n"] for r in got} == {n_items} and moved.value == len(got) == users.count()
+
+
+def test_small_parts_share_a_lane(model, monkeypatch):
+    """Lanes are counted by items: of many small parts there are no more than of some large ones."""
+    users, items, *raw = model
+    asked = []
+    monkeypatch.setattr(retrieval, "_lanes", lambda n_parts, n_users, cores: asked.append(n_parts) or 1)
+    monkeypatch.setattr(retrieval, "LANE_PARTS", 4)
+    assert picked(retrieval.pruned_topk(users, items, 7, 10, 5)) == exact(*raw, 7)
+    assert asked and max(asked) <= 4
+
+
+def test_many_users_make_few_chunks(spark):
+    items = spark.createDataFrame([(1, [0.0] * 10)], "item_id long, vec array<double>")
+    chunks = retrieval._chunks(5_400_000, 16)
+    few = retrieval._fewer_chunks(items, 5_400_000, 16, chunks, 10)
+    assert 16 <= few <= chunks / 4 and few < retrieval._fewer_chunks(items, 5_400_000, 16, chunks, 100) <= chunks
+    assert retrieval._fewer_chunks(items, 900_000, 16, 16, 10) == 16
